@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.arrow import flat_utf8, mapped, utf8_column
 from ledgerloom.tables import table
@@ -207,7 +208,7 @@ def consistent(df: DataFrame, column: str, out: str = "clean", flag: str = "chan
         new, changed = one_form(b.column(names.index(column)))
         return pa.RecordBatch.from_arrays([*b.columns, new.cast(pa.string()), pa.array(changed)], names=[*names, out, flag])
 
-    schema = df.schema.add(out, "string").add(flag, "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(flag, T.BooleanType())])
     return mapped(df, run, schema)
 
 
