@@ -177,6 +177,8 @@ def decoded(nodes: list[Node], probable: np.ndarray, text: str) -> None:
         while p >= 0 and nodes[p].kept and _KINDS[nodes[p].kind][0] in MATH:
             n.kept = False
             break
+        if kind == "bullet" and not _letters.search(text, n.inner, n.end) and text[n.inner : n.end].rstrip().endswith(("-", "*")):
+            n.kept = False  # a page number between dashes
         needs = NEEDS.get(kind)
         if needs:
             while p >= 0 and _KINDS[nodes[p].kind][0] not in needs:
@@ -210,7 +212,7 @@ def _replacement(n: Node, text: str) -> tuple[str, str]:
         indent = regex.match(r"[ \t]*", text[n.begin : n.end])[0]
         return f"{indent}- ", ""
     if kind == "word":
-        return ("- " if n.name == "item" else text[n.begin : n.end] if n.name in ("times", "frac", "sum", "int", "cdot") else ""), ""
+        return ("-" if n.name == "item" else text[n.begin : n.end] if n.name in ("times", "frac", "sum", "int", "cdot") else ""), ""
     if kind == "command":
         if n.name == "footnote":
             return " (", ")"
