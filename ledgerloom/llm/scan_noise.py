@@ -323,6 +323,8 @@ def line_features(lines: list[str], k: int, page: int | None, code: str, year: s
     rest = [t for t in named if t not in REPORT_WORDS and t != code.lower() and t not in PAGE_WORDS and not (code and code.lower() in t) and not regex.fullmatch(r"b\d+", t)]
     originals = regex.findall(r"\p{L}[\p{L}\p{N}]*", line)
     capitals = len(originals) > 2 and sum(t[0].isupper() for t in originals) >= 0.6 * len(originals)
+    spared = REPORT_WORDS | set(name.split()) | {"cong", "ty", "doan", "tap", "tong", "co", "phan"}
+    low = sum(t[0].islower() and plain(t) not in spared for t in originals)
     dash = " – " in line or " | " in line or " - " in line
     page_only = bool(numbers) and all(t in PAGE_WORDS for t in named) and len(tokens) <= 4 and not had_name
     before, after = (lines[k - 1].strip() if k else ""), (lines[k + 1].strip() if k + 1 < len(lines) else "")
@@ -335,7 +337,7 @@ def line_features(lines: list[str], k: int, page: int | None, code: str, year: s
     return [
         "1", f"place={place}", f"page={page_only}{mine}", f"page={page_only}{mine}{place}", f"rest={min(len(rest), 3)}{marks > 0}", f"marks={marks}", f"marks={marks}{min(len(rest), 3)}{closed}",
         f"closed={closed}{page_only}", f"cut={cut and goes_on}{page_only}{marks > 0}", f"all={not rest and marks > 0 and not closed}", f"numbers={min(len(numbers), 3)}{page_only}", f"named={had_name}{had_year}{had_code}",
-        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{sum(t in REPORT_WORDS for t in named) >= 2}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"report={sum(t in REPORT_WORDS for t in named) >= 2}{marks > 0}{not rest}",
+        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{sum(t in REPORT_WORDS for t in named) >= 2}", f"low={min(low, 3)}{min(marks, 2)}", f"core={min(len(rest), 3)}{min(low, 3)}{had_name}{had_year}{had_code}{closed}{page_only}", f"low={min(low, 3)}{dash}{closed}", f"clean={low == 0 and marks > 1 and not closed}{dash}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"report={sum(t in REPORT_WORDS for t in named) >= 2}{marks > 0}{not rest}",
     ]
 
 
@@ -352,7 +354,7 @@ def _line_rows(seed: int = 9, blocks: int = 3000) -> list[tuple[list[str], str,
         known = plain(name) if rng.random() < 0.8 else ""  # some names are in no list
         words: list[str] = []
         for _ in range(rng.randint(2, 6)):
-            s = [rng.choice(syllables) if rng.random() < 0.8 else str(rng.choice([page, year, rng.randint(1, 99999)])) for _ in range(rng.randint(8, 25))]
+            s = [rng.choice(syllables) if rng.random() < 0.8 else str(rng.choices([page, year, rng.randint(1, 99999)], weights=[1, 1, 12])[0]) for _ in range(rng.randint(8, 25))]
             if rng.random() < 0.4:
                 s[rng.randrange(len(s)) : 0] = [*name.split()]
             if rng.random() < 0.2:
@@ -420,12 +422,13 @@ class Repairer:
             self.editor.fit()
         else:
             self.editor.model = editor
-        self.furniture = furniture or Perceptron().train(_line_rows())
+        self.furniture = furniture or Perceptron().train(_line_rows(), rounds=8)
         self.names = names or {}
 
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
         line = lines[k].strip()
-        if not line or len(line) > 90:
+        # What every line with a page number or a mark of the report has; others are text without asking.
+        if not line or len(line) > 90 or not (len(line) < 20 and any(map(str.isdigit, line)) or (year and year in line) or (code and code in line) or " – " in line or " | " in line):
             return False
         return self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
 
