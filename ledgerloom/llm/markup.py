@@ -38,7 +38,7 @@ COMMANDS = set("section subsection subsubsection chapter paragraph title textbf
 _KINDS = [
     ("comment", 0, r"(?P<o><!--.*?-->)"),
     ("tag", 0, r"(?P<o></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)"),
-    ("entity", 0, r"(?P<o>&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"),
+    ("entity", 0, r"(?P<o>&(?:amp;)*(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"),
     ("fence", 1, r"(?m)(?P<o>^[ \t]*(?:```|~~~)[^\n`]*\n)(?:.*?\n)??(?P<c>[ \t]*(?:```|~~~)[ \t]*$)"),
     ("tick", 1, r"(?P<o>(?<!`)`(?!`))[^`\n]+(?P<c>`(?!`))"),
     ("heading", 1, r"(?m)(?P<o>^[ \t]*#{1,6}[ \t]+)(?=\S)[^\n]*$"),
