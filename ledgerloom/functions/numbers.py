@@ -74,7 +74,7 @@ def clean_cell(c: Column) -> Column:
 def markdown_cell(c: Column) -> Column:
     """A cell safe for Markdown: bracketed numbers with a minus, pipes escaped."""
     t = clean_cell(c)
-    return F.regexp_replace(F.regexp_replace(t, "^\\(\\s*([0-9\\s.,]+?)\\s*\\)$", "-$1"), "\\|", "\\\\\\\\|")
+    return F.regexp_replace(F.regexp_replace(t, "^\\(\\s*([0-9\\s.,]+?)\\s*\\)$", "-$1"), "\\|", "\\\\|")
 
 
 # Patterns of currency units in captions, the first that matches counts.
@@ -99,7 +99,7 @@ def currency_unit(c: Column) -> Column:
 def approx_equal(a: Column, b: Column, absolute: float = 2.0, relative: float = 1e-4) -> Column:
     """Whether two amounts agree within an absolute or a relative tolerance; two zeros do."""
     d, largest = F.abs(a - b), F.greatest(F.abs(a), F.abs(b))
-    return (d <= absolute) | F.coalesce(d / F.nullif(largest, F.lit(0.0)) <= relative, F.lit(True))
+    return (d <= absolute) | F.when(largest == 0, F.lit(True)).otherwise(d / F.nullif(largest, F.lit(0.0)) <= relative)
 
 
 def ratio(numerator: Column, denominator: Column, places: int = 4) -> Column:
