@@ -55,6 +55,7 @@ _sign = regex.compile(r"<[^<>\n]*>|&#?\w+;|\\\[.*?\\\]|\$[^$\n]*\\[^$\n]*\$|\\[a
 _code = regex.compile(r"\p{Lu}{1,4}\d{1,6}|\d+|\p{L}|[IVXLivxl]+|\d+\p{L}|[a-km-z]\d{1,3}")
 _trailing = regex.compile(r"(?:\s*[._·…]{3,}|(?:\s+[._·…]){2,}|\s+(?=(?:tr|trang|page|p)\b))\s*(?:tr\.?|trang|page|p\.?)?\s*\d{1,4}(?=\s*$|\s*[\[(][^\[\]()]*[\])]\s*$|\s*,[^,]*$|\s+-\s+\D.*$)", regex.I)
 _end = regex.compile(r"[.!?:;…][\"”’)\]]*\s*$")
+_inside = regex.compile(r"(?=.{4})\p{L}[\p{Ll}\p{M}]*[0159!|678][\p{Ll}\p{M}]+")
 _roman = regex.compile(r"[IVXLC]{2,}|[ivx]{2,}")
 _blank = regex.compile(r"\s+")
 
@@ -228,10 +229,13 @@ class Editor:
         # A code (letters, then digits) is a word only when it becomes a common one, without digits.
         if _code.fullmatch(piece) and (len(lower) < 3 or max((self.count(v) for v in variants(lower) if v.isalpha()), default=0) < 20) and not (len(lower) == 2 and lower[0].isdigit() or lower in SHORT_WORDS):
             return None
+        plain_letters = letters == len(lower)
+        if plain_letters and piece.isupper() and len(piece) <= 4:
+            return None  # an acronym
         fixed = self._decide(lower)
-        if fixed is None and lower[-1] in "!|":
-            return None
-        if fixed is None:
+        if fixed is None and _inside.fullmatch(piece):  # a sign between the letters of a mistyped word
+            fixed = next((v for v in variants(lower) if v.isalpha()), None)
+        if fixed is None or (plain_letters and len(fixed) < 3):
             return None
         if piece.isupper() and letters > 1:
             fixed = fixed.upper()
