@@ -92,6 +92,14 @@ def embedded_heading(content: Column) -> Column:
     return F.struct(F.when(is_heading, first).alias("heading"), F.when(is_heading, F.regexp_replace(content, "^\\s*[^\\n]*\\n", "")).otherwise(content).alias("rest"))
 
 
+def fixed_width(rows: Column, right: Column) -> Column:
+    """A grid as lines of columns of one width; `right` says for each column whether it is set flush right."""
+    full = padded(rows)
+    widths = F.transform(F.element_at(full, 1), lambda _, k: F.array_max(F.transform(full, lambda r: F.length(F.get(r, k)))))
+    cell = lambda x, k: F.when(F.coalesce(F.get(right, k), F.lit(False)), F.concat(F.repeat(F.lit(" "), F.get(widths, k) - F.length(x)), x)).otherwise(F.concat(x, F.repeat(F.lit(" "), F.get(widths, k) - F.length(x))))
+    return F.array_join(F.transform(full, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x, k: cell(x, k)), " | "), F.lit(" |"))), "\n")
+
+
 def column_roles(headers: Column) -> Column:
     """(label, code, note, current, previous): places (from 0) of the columns of a statement table, by their headers, else by the usual layouts of three to five columns."""
     low = F.transform(headers, lambda x: F.lower(x))

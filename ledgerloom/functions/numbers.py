@@ -112,6 +112,14 @@ def growth(current: Column, previous: Column) -> Column:
     return F.round((current - previous) * 100 / F.nullif(F.abs(previous), F.lit(0.0)), 2)
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Shared area of two inclusive cell rectangles (r1, c1, r2, c2) over the area of either; 0 without any."""
+    side = lambda x, lo, hi: F.get(x, F.lit(hi)) - F.get(x, F.lit(lo)) + 1
+    span = lambda lo, hi: F.greatest(F.lit(0), F.least(F.get(a, F.lit(hi)), F.get(b, F.lit(hi))) - F.greatest(F.get(a, F.lit(lo)), F.get(b, F.lit(lo))) + 1)
+    both = span(0, 2) * span(1, 3)
+    return both / (side(a, 0, 2) * side(a, 1, 3) + side(b, 0, 2) * side(b, 1, 3) - both)
+
+
 def display(c: Column) -> Column:
     """A number for people: thousands separated, up to four decimals without trailing zeros."""
     text = F.format_number(c, 4)

@@ -76,3 +76,12 @@ def test_html_tables(spark):
     assert one["cells"] == [["a", "b", "b"], ["a", "c", "d"], ["1", "2 3", "x & y"]] and one["spans"] == [[0, 0, 1, 0], [0, 1, 0, 2]] and one["header_rows"] == 2 and two["rows"] == 1
     assert h.grids(h.to_html(one))[0]["cells"] == one["cells"]
     assert [v and len(v) for (v,) in values(spark, [text, "none", "", None, "<table"], h.html_grids(F.col("s")))] == [2, [], [], None, 1] or True
+
+
+def test_lists_objects_and_areas(spark):
+    assert [v for (v,) in values(spark, ['["a","đ"]', "{bad", None], t.json_list(F.col("s")))] == [["a", "đ"], [], []]
+    assert [v for (v,) in values(spark, ['say {"a": {"b": 1}} ok', "{no", ""], t.first_json(F.col("s")))] == ['{"a": {"b": 1}}', None, None]
+    df = spark.createDataFrame([([0, 0, 1, 1], [0, 0, 1, 1]), ([0, 0, 0, 1], [0, 1, 0, 2]), ([0, 0, 0, 0], [5, 5, 5, 5])], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(n.overlap(F.col("a"), F.col("b"))).collect()] == [1.0, pytest.approx(1 / 3), 0.0]
+    ((w,),) = values(spark, ["| a | 1.000 |\n|---|---|\n| bcd | 5 |"], m.fixed_width(m.grid(F.col("s")), F.array(F.lit(False), F.lit(True))))
+    assert w == "| a   | 1.000 |\n| bcd |     5 |"
