@@ -116,7 +116,19 @@ def announced_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (block_paragraphs, box_columns, table_header_rows, concept_rows, numeric_columns, announced_sections)}
+_CELLS = """lines AS (SELECT doc_id, block_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM b WHERE block_type = 'table' AND content IS NOT NULL),
+grid AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY n) AS r, regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', '') AS x FROM lines WHERE trim(line) LIKE '|%' AND NOT regexp_matches(trim(line), '^\\|[-: |]+\\|$')),
+cell AS (SELECT doc_id, block_id, r, trim(unnest(string_split(x, '|'))) AS cell, generate_subscripts(string_split(x, '|'), 1) AS col FROM grid)"""
 ORACLES = {
+    "numeric_columns": f"""
+WITH {ONCE}, {_CELLS}
+SELECT doc_id, block_id, (col - 1)::int AS col, avg((regexp_matches(regexp_replace(cell, '^\\(\\s*(.*?)\\s*\\)$', '\\1'), '^-?\\s*[0-9]{{1,3}}([.,][0-9]{{3}})*([.,][0-9]+)?$|^-?\\s*[0-9]+([.,][0-9]+)?$'))::int) >= 0.6 AS right
+FROM cell WHERE r > 1 AND cell <> '' GROUP BY ALL
+""",
+    "table_header_rows": f"""
+WITH {ONCE}, {_CELLS}, h AS (SELECT doc_id, block_id, r, {" + ".join(f"max(regexp_matches(lower(cell), '{p}')::int)" for p in HEADER_PATTERNS)} AS hits FROM cell GROUP BY ALL)
+SELECT doc_id, block_id, (r - 1)::int AS row, hits::int AS hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, block_id ORDER BY hits DESC, r) = 1
+""",
     "block_paragraphs": f"""
 WITH {ONCE}, x AS (SELECT doc_id, page, bbox.top AS t, bbox.bottom AS u FROM b WHERE bbox IS NOT NULL),
 g AS (SELECT *, CASE WHEN coalesce(t - max(u) OVER (PARTITION BY doc_id, page ORDER BY t, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 30, true) THEN 1 ELSE 0 END AS n FROM x)

@@ -151,6 +151,14 @@ QUERIES = {f.__name__: f for f in (section_paths, section_chunks, section_spans,
 _NUMBERING = "^\\s*(?:[IVXLC]+|[0-9]{1,2}(?:\\.[0-9]+)*|[a-zA-Z])\\s*[.)]\\s+"
 _TITLE = lambda c: f"trim(regexp_replace(regexp_replace({c}, '{_NUMBERING}', ''), '\\s+', ' ', 'g'))"
 ORACLES = {
+    "section_chunks": f"""
+WITH c AS (SELECT id, title, page_start, blocks, array_to_string(list_filter(list_transform(blocks, lambda b: b.content), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS c FROM sections),
+t AS (SELECT *, list_filter(blocks, lambda b: b.block_type = 'table') AS t FROM c),
+h AS (SELECT *, list_filter(flatten(list_transform(t, lambda b: list_transform(string_split(regexp_replace(regexp_replace(trim(regexp_extract(coalesce(b.content, ''), '(?m)^(\\|[^\\n]*)$', 1)), '^\\|', ''), '\\|$', ''), '|'), lambda x: trim(x)))), lambda x: x <> '') AS h FROM t)
+SELECT id, {_TITLE("title")} AS clean_title, length(c)::int AS chars, len(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: x <> ''))::int AS words, len(t)::int AS tables,
+  array_to_string(list_filter(h, lambda x, i: list_position(h, x) = i)[1:12], '|') AS headers, least(350, length(regexp_replace(c, '\\s+', ' ', 'g')))::int AS snippet_length, 'Trang ' || page_start AS page_hint
+FROM h
+""",
     "section_paths": f"""
 WITH s AS (SELECT id, doc_id, level, {_TITLE("coalesce(title, '')")} AS t FROM sections),
 n AS (SELECT *, last_value(CASE WHEN level = 3 THEN t END IGNORE NULLS) OVER w AS t3, last_value(CASE WHEN level = 3 THEN id END IGNORE NULLS) OVER w AS i3,
