@@ -216,3 +216,12 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_coverage": p9_coverage}
+ORACLES = {
+    "p9_found": """
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[\\pL\\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[\\pL\\p{Nd}]+') AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+""",
+}
