@@ -289,7 +289,7 @@ def _marked(rng: random.Random) -> str:
         lambda: f"<!-- {w()} -->", lambda: f"{w(1, 2)}&nbsp;{w(1, 2)}&amp;{w(1, 1)}", lambda: f"&lt;b&gt;{w()}&lt;/b&gt; &amp;amp; &#{rng.randint(33, 900)};",
         lambda: f"<PRE><code>SUM(a, b) * {n}</code></PRE>", lambda: f"<a href=\"http://a.b/{n}\">{w()}</a>", lambda: f"<p>{w(4, 12)}",
         lambda: f"\n{level} {w()}\n\n", lambda: f"**{w()}** {w(2, 5)}", lambda: f"{w()} __{w()}__ {w()}", lambda: f"~~{w()}~~ `x = {n}`", lambda: f"*{w(1, 3)}*", lambda: f"_{w(1, 3)}_",
-        lambda: f"\n\n* **{w()}**\n* __{w()}__\n  * {w()}", lambda: f"\n- {w()}\n- {w()}\n- {w()}\n", lambda: f"\n+ {w(2, 6)}\n+ {w(2, 6)}\n", lambda: f"\n> **{w()}**\n> {w(5, 90)}", lambda: f"\n> {w(5, 60)}\n",
+        lambda: f"\n\n* **{w()}**\n* __{w()}__\n  * {w()}", lambda: f"\n- {w()}\n- {w()}\n- {w()}\n", lambda: f"\n+ {w(2, 6)}\n+ {w(2, 6)}\n", lambda: f"\n> **{w()}**\n> {w(5, 140)}", lambda: f"\n> {w(5, 110)}\n",
         lambda: f"[{w()}](notes/{n}.md)", lambda: f"![{w()}](img/{n}.png)", lambda: f"\n```\ntotal = a * b - {n}\n```\n", lambda: f"\n| {w()} | {w()} |\n|---|---:|\n| {w()} | {n} |\n",
         lambda: f"'''{w()}''' {w()}", lambda: f"'' {w()} ''", lambda: f"''{w()}''", lambda: f"[[{w()}]]", lambda: f"[[{w(1, 2)}|{w()}]]: {w()}", lambda: f"{{{{cite|{w()}|p={n}}}}}", lambda: f"{{{{{w(1, 1)}}}}}",
         lambda: f"\n{eq} {w()} {eq}\n", lambda: f"\n{{| class=wikitable\n! {w()}\n|-\n| {w()}\n|}}\n", lambda: f"[http://a.b/{n} {w()}]",
@@ -306,6 +306,7 @@ def _plain(rng: random.Random) -> str:
         lambda: f"a <{m} and b> {n}", lambda: f"\n- {m} -\n", lambda: f"\n~ {m} ~\n", lambda: f"\n{m} | {n}\n", lambda: f"\n{m}. {w()}\n", lambda: f"{w()} (*) {w()} (**) {w()}", lambda: f"{w()} a_b_{m} {w()} c_d_{n}", lambda: f"C:\\{rng.choice(['temp', 'data', 'new'])}\\{rng.choice(['x', 'ab'])} {w()}",
         lambda: f"{{{w()}}} {w()}", lambda: f"{w()} <{rng.choice('abc')}@{rng.choice(['mail', 'web'])}.vn>", lambda: f"\n{w()} | {n}\n{w(3, 6)}", lambda: f"R&D; P&L; {w()}", lambda: f"{w()} == {n}", lambda: f"\n----- {m} -----\n", lambda: f"\n{'-' * rng.randint(5, 30)}\n{w()}", lambda: f"{w()} * {w()} * {w()}", lambda: f"{w()}^{m} ~ {n} {w()}", lambda: f"{w()} '{w()}' {w()}", lambda: f"\n> {m}% {w(1, 2)}", lambda: f"\n- {n}\n",
         lambda: f"VND $ {n} {w()} US$ {m}", lambda: f"{w()} & {w()}", lambda: f"{w()} \\ {w()}", lambda: f"\n* {w(2, 4)}*\n{w(3, 6)}", lambda: f"\n# {n}\n", lambda: f"\n= {m}\n",
+        lambda: f"{w()} {n}\n* {m} = {n * m} {w(2, 8)}", lambda: f"{w()} {n}\n+ {m} {w(2, 8)}", lambda: f"{w()} {m}\n- {n} {w(1, 6)}", lambda: f"{w()} < {m}% {w(1, 2)}\n> {n}%. {w(2, 8)}",
     ])()
 
 
