@@ -10,7 +10,7 @@ the key), since only a classifier is fitted on it. Labels are noisy: after a fir
 machines clearly see in another language are dropped and the fit is repeated. Sentences of languages
 with accents are also given without them. Scoring covers every sentence of every document.
 
-A sentence whose margin is small takes the language of the sentence before it (or, at the start, after
+A sentence whose margin is small, or a piece of one, takes the language of the sentence before it (or, at the start, after
 it). Neighbouring sentences of one language make a segment. Null, blank and letterless texts have no
 languages and no segments; a text with letters has at least one.
 """
@@ -49,6 +49,7 @@ SAMPLE = 4000
 SENTENCES_PER_LANGUAGE = 3000
 _word = regex.compile(r"[\p{L}\p{M}]+")
 _end = regex.compile(r"(?<=[.!?…][\"”’)\]]*)\s+(?=[\"“‘(\[]*[\p{Lu}\p{N}\-–])|\s*\n[ \t\r]*\n\s*")
+_whole = regex.compile(r"[\p{Lu}“\"«(].*[.!?…][\"”»)]*$", regex.S)
 _abbreviation = regex.compile(rf"(?:^|[\s(])(?:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS.split())})\.$", regex.I)
 
 
@@ -233,7 +234,7 @@ def fit(rows: list[tuple[str, str]], per_language: int = SENTENCES_PER_LANGUAGE)
 
 def training_rows(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     """(text, language) of `sample` labelled documents, the lowest by a hash of the key; at most so many, whatever the table's size."""
-    known = F.udf(canonical, "string")
+    known = F.udf(lambda label: canonical(label), "string")
     labels = docs.select("lang").where("lang is not null").distinct()
     # Distinct labels are few but unbounded in principle: the mapping is made on executors and joined.
     labels = labels.withColumn("_known", known("lang")).where("_known is not null")
@@ -262,6 +263,8 @@ def analysed(machines: Machines, texts: list[str | None], least_margin: float =
     for r, t in enumerate(texts):
         rows = range(bounds[r], bounds[r + 1])
         sure = [k for k in rows if len(batches[k]) >= 4 and margin[k] >= least_margin]
+        # Whole sentences decide; pieces of sentences only where there are no whole ones.
+        sure = [k for k in sure if _whole.match(t[spans[k][0] : spans[k][1]])] or sure
         if not rows:
             out.append([])
             continue
