@@ -92,6 +92,11 @@ def embedded_heading(content: Column) -> Column:
     return F.struct(F.when(is_heading, first).alias("heading"), F.when(is_heading, F.regexp_replace(content, "^\\s*[^\\n]*\\n", "")).otherwise(content).alias("rest"))
 
 
+def repaired(content: Column) -> Column:
+    """A table as it comes from a recogniser, made regular: an embedded heading split off, rows of one width, numeric cells clean."""
+    return clean_numeric_cells(aligned(embedded_heading(content)["rest"]))
+
+
 def fixed_width(rows: Column, right: Column) -> Column:
     """A grid as lines of columns of one width; `right` says for each column whether it is set flush right."""
     full = padded(rows)

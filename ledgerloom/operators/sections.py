@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.markdown import SEPARATOR, cells_of
+from ledgerloom.functions.text import ACCENTED, PLAIN, slug
 from ledgerloom.operators.blocks import ONCE, once, reading_order
 from ledgerloom.tables import table
 
@@ -56,6 +57,19 @@ def chunks_of(sections: DataFrame) -> DataFrame:
     )
 
 
+def with_codes(sections: DataFrame) -> DataFrame:
+    """Sections with `code` (a core statement's own or a roman number; V.n for notes; V.n(x) below, of the note above) and `chunk_id`, made of document, level, code or title, and place."""
+    w = W.partitionBy("doc_id").orderBy("id")
+    part = lambda p: F.nullif(F.regexp_extract("title", p, 1), F.lit(""))
+    s = sections.withColumn("_n", part("^\\s*([0-9]{1,2})\\s*[.)]")).withColumn("_note", F.last(F.when(F.col("level") == 4, F.col("_n")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    core = F.when(F.col("canonical_code").startswith("CORE_"), F.col("canonical_code"))
+    letter = part("^\\s*([a-zđ])\\s*[.)]\\s")
+    code = F.when(F.col("level") == 3, F.coalesce(core, part("^\\s*([IVX]+)\\s*[.)]"))).when(F.col("level") == 4, F.concat(F.lit("V."), F.col("_n"))).when(F.col("level") == 5, F.concat(F.lit("V."), F.col("_note"), F.lit("("), letter, F.lit(")")))
+    s = s.withColumn("code", code).withColumn("_k", F.row_number().over(w))
+    tail = F.coalesce("code", slug(clean_title(F.coalesce("title", F.lit(""))), 30))
+    return s.withColumn("chunk_id", F.concat(F.col("doc_id"), F.lit("_c_h"), F.col("level"), F.lit("_"), tail, F.lit("_"), F.lpad(F.col("_k").cast("string"), 3, "0"))).drop("_n", "_note", "_k")
+
+
 def table_runs(texts: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
     """(key, run, begin, lines, rows): runs of contiguous table lines of a text, of `least` lines or more; lines from 0."""
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "_x")).withColumn("_pipe", F.trim("_x").startswith("|"))
@@ -102,6 +116,10 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks_of(table(spark, d, "sections")).select("id", "clean_title", "chars", "words", "tables", "headers", F.length("snippet").alias("snippet_length"), "page_hint")
 
 
+def section_codes(spark: SparkSession, d: str) -> DataFrame:
+    return with_codes(table(spark, d, "sections").drop("blocks")).select("id", "code", "chunk_id")
+
+
 def section_spans(spark: SparkSession, d: str) -> DataFrame:
     """Pages, blocks and tables of the sections of each document and type."""
     s = table(spark, d, "sections")
@@ -147,7 +165,7 @@ def note_numbers(spark: SparkSession, d: str) -> DataFrame:
     return accepted_numbers(s, "doc_id", "id", "n").select("doc_id", "numbers", F.array_join(F.col("accepted").cast("array<string>"), ",").alias("accepted"))
 
 
-QUERIES = {f.__name__: f for f in (section_paths, section_chunks, section_spans, chunk_table_runs, chunk_headings, chunk_summary, block_sections, block_headings, section_page_sets, note_numbers)}
+QUERIES = {f.__name__: f for f in (section_paths, section_chunks, section_codes, section_spans, chunk_table_runs, chunk_headings, chunk_summary, block_sections, block_headings, section_page_sets, note_numbers)}
 _NUMBERING = "^\\s*(?:[IVXLC]+|[0-9]{1,2}(?:\\.[0-9]+)*|[a-zA-Z])\\s*[.)]\\s+"
 _TITLE = lambda c: f"trim(regexp_replace(regexp_replace({c}, '{_NUMBERING}', ''), '\\s+', ' ', 'g'))"
 ORACLES = {
@@ -164,6 +182,14 @@ WITH s AS (SELECT id, doc_id, level, {_TITLE("coalesce(title, '')")} AS t FROM s
 n AS (SELECT *, last_value(CASE WHEN level = 3 THEN t END IGNORE NULLS) OVER w AS t3, last_value(CASE WHEN level = 3 THEN id END IGNORE NULLS) OVER w AS i3,
   last_value(CASE WHEN level = 4 THEN t END IGNORE NULLS) OVER w AS t4, last_value(CASE WHEN level = 4 THEN id END IGNORE NULLS) OVER w AS i4 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY id ROWS UNBOUNDED PRECEDING))
 SELECT id, array_to_string(list_filter([CASE WHEN level > 3 THEN t3 END, CASE WHEN level > 4 AND i4 > coalesce(i3, '') THEN t4 END, t], lambda x: x IS NOT NULL), ' > ') AS path FROM n
+""",
+    "section_codes": f"""
+WITH n AS (SELECT *, nullif(regexp_extract(title, '^\\s*([0-9]{{1,2}})\\s*[.)]', 1), '') AS n, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k, {_TITLE("coalesce(title, '')")} AS t FROM sections),
+m AS (SELECT *, last_value(CASE WHEN level = 4 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS note,
+  regexp_replace(substr(regexp_replace(trim(regexp_replace(translate(lower(t), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9_\\s-]', '', 'g')), '[\\s_-]+', '-', 'g'), 1, 30), '^-+|-+$', '', 'g') AS s FROM n),
+c AS (SELECT *, CASE level WHEN 3 THEN coalesce(CASE WHEN canonical_code LIKE 'CORE\\_%' ESCAPE '\\' THEN canonical_code END, nullif(regexp_extract(title, '^\\s*([IVX]+)\\s*[.)]', 1), ''))
+  WHEN 4 THEN 'V.' || n WHEN 5 THEN 'V.' || note || '(' || nullif(regexp_extract(title, '^\\s*([a-zđ])\\s*[.)]\\s', 1), '') || ')' END AS code FROM m)
+SELECT id, code, doc_id || '_c_h' || level || '_' || coalesce(code, CASE WHEN s <> '' THEN s ELSE 'section' END) || '_' || lpad(k::VARCHAR, 3, '0') AS chunk_id FROM c
 """,
     "section_spans": "SELECT doc_id, section_type, min(page_start) AS first, max(page_end) AS last, sum(len(blocks))::BIGINT AS blocks, bool_or(len(list_filter(blocks, lambda b: b.block_type = 'table')) > 0) AS has_table FROM sections GROUP BY ALL",
     "chunk_table_runs": """

@@ -150,3 +150,12 @@ def test_streams(spark, tmp_path):
     q = ingest.once_each(ingest.arriving(spark, str(tmp_path), "t"), "ts", ["g"]).writeStream.format("memory").queryName("once_each").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from once_each").count() == 2
+
+
+def test_listing_and_relocation(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "table_id string")
+    assert sorted(tuple(r) for r in evaluate.listing(ids("a", "b"), ids("a", "a"), ids("c")).collect()) == [("a", True, False), ("b", False, False)]
+    e = spark.createDataFrame([("d", 1, "| same |", "h"), ("d", 2, "hàng tồn kho mới", "h"), ("d", 3, "zzz", "Head"), ("d", 4, None, None)], "doc_id string, edit_id int, text string, heading string")
+    s = spark.createDataFrame([("d", 10, "| same | ", "x"), ("d", 11, "hàng tồn kho", "x"), ("d", 12, "other", "Head"), ("e", 13, "zzz", "Head")], "doc_id string, span_id int, text string, heading string")
+    got = {r.edit_id: (r.span_id, r.how) for r in evaluate.relocated(e, s).collect()}
+    assert got[2] == (11, "words") and got[3] == (12, "heading") and got[4] == (None, None) and got[1][0] in (10, 11)
