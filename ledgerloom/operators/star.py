@@ -70,22 +70,39 @@ def top_customers(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("c_nationkey", "rank", "c_custkey", F.col("total").cast("double").alias("total"))
 
 
+def running_before(df: DataFrame, key: str, order: list, value, how: str, out: str) -> DataFrame:
+    """df with `out`: of `value` over the rows of a key before each row, the maximum, the sum, or the last that is not null.
+
+    Rows are split by key and day: a small table of days carries what came before each day, and windows
+    only reach over a day's rows, so a key that holds a third of all rows is spread over many tasks.
+    """
+    df = df.withColumn("_day", F.to_date(F.col(order[0]))).withColumn("_v", value)
+    place = F.struct(*order)
+    of_day = {"max": F.max("_v"), "sum": F.sum("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), place))}[how]
+    days = df.groupBy(key, "_day").agg(of_day.alias("_d"))
+    earlier = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    fold = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    carried = days.select(key, "_day", fold("_d").over(earlier).alias("_carry"))
+    within = W.partitionBy(key, "_day").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = df.join(carried, [key, "_day"]).withColumn("_w", fold("_v").over(within))
+    both = {"max": F.greatest("_carry", "_w"), "sum": F.coalesce("_carry", F.lit(0)) + F.coalesce("_w", F.lit(0)), "last": F.coalesce("_w", "_carry")}[how]
+    return joined.withColumn(out, both).drop("_day", "_v", "_carry", "_w")
+
+
 def last_event_before(spark: SparkSession, d: str) -> DataFrame:
-    """As-of join: each purchase with the last view of its user up to that time, by one window over the union of both."""
-    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    kinds = e.groupBy("event_type").count().orderBy(F.desc("count"), "event_type").limit(2).select(F.col("event_type").alias("k"))
-    two = [r["k"] for r in kinds.collect()]
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == two[0], F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("last_id", last).where(F.col("event_type") == two[1]).select("event_id", "last_id")
+    """As-of join: each event of the second most frequent type with the last one of the most frequent type of its user up to that time."""
+    e = table(spark, d, "events").where("user_id is not null and ts is not null").select("event_id", "user_id", "ts", "event_type")
+    two = [r["event_type"] for r in e.groupBy("event_type").count().orderBy(F.desc("count"), "event_type").limit(2).collect()]
+    e = running_before(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == two[0], F.col("event_id")), "last", "last_id")
+    return e.where(F.col("event_type") == two[1]).select("event_id", "last_id")
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of users: a gap of over 30 minutes starts the next; counts by user."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").where("user_id is not null")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w) > 30 * 60 * 1_000_000
-    e = e.withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Sessions of users: a gap of over 30 minutes starts the next; their number and the longest, in events."""
+    e = table(spark, d, "events").where("user_id is not null and ts is not null").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = running_before(e, "user_id", ["ts", "event_id"], F.col("us"), "max", "_before")
+    e = e.withColumn("_new", F.when(F.coalesce(F.col("us") - F.col("_before") > 30 * 60 * 1_000_000, F.lit(True)), 1).otherwise(0))
+    e = running_before(e, "user_id", ["ts", "event_id"], F.col("_new"), "sum", "_starts").withColumn("session", F.col("_starts") + F.col("_new"))
     s = e.groupBy("user_id", "session").agg(F.count("*").alias("events"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
@@ -98,9 +115,9 @@ def event_hours(spark: SparkSession, d: str) -> DataFrame:
 
 def running_guard(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user whose value is no less than every one before it: a monotonic guard by a running maximum."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    e = table(spark, d, "events").where("value is not null")
-    return e.withColumn("_m", F.max("value").over(w)).where(F.col("_m").isNull() | (F.col("value") >= F.col("_m"))).groupBy("user_id").agg(F.count("*").alias("accepted"))
+    e = table(spark, d, "events").where("value is not null and user_id is not null and ts is not null").select("event_id", "user_id", "ts", "value")
+    e = running_before(e, "user_id", ["ts", "event_id"], F.col("value"), "max", "_m")
+    return e.where(F.col("_m").isNull() | (F.col("value") >= F.col("_m"))).groupBy("user_id").agg(F.count("*").alias("accepted"))
 
 
 QUERIES = {f.__name__: f for f in (star_facts, star_ratios, star_growth, pricing_summary, priority_pivot, top_customers, last_event_before, event_sessions, event_hours, running_guard)}
