@@ -142,4 +142,43 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_values": p5_values}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The same rules as DuckDB SQL."""
+    made: dict[str, str] = {}
+    for prefix, scales in SCALES.items():
+        for base, bases in BASES.items():
+            for sc in scales:
+                for b in bases:
+                    for text in (f"{sc} {b}".strip(), f"{b} {sc}".strip(), f"{sc}{b}"):
+                        made.setdefault(text if sc else b, prefix + base)
+    values = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in sorted(made.items()))
+    wide, narrow = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+    bold = "".join(chr(0x1D400 + k) for k in range(52))
+
+    def fold(c: str) -> str:
+        c = f"translate(lower({c}), '{ACCENTED + LOOKALIKE}', '{PLAIN + LOOKS_AS}')"
+        c = f"regexp_replace({c}, '[\\x{{0300}}-\\x{{036f}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}\\x{{00ad}}]', '', 'g')"
+        c = f"translate(translate({c}, '{wide}', '{narrow}'), '{bold}', '{'abcdefghijklmnopqrstuvwxyz' * 2}')"
+        c = f"trim(regexp_replace(lower({c}), '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+        return f"list_transform([{c}], lambda z: CASE WHEN regexp_matches(z, '(^|[^.])tr\\.$') THEN z ELSE regexp_replace(z, '\\.+$', '') END)[1]"
+
+    return f"""
+WITH made(spelling, code) AS (VALUES {values}),
+names AS (SELECT spelling, min(code) AS code FROM (SELECT * FROM made WHERE code IN (SELECT unit_code FROM unit_definitions) UNION ALL SELECT lower(unit_code), unit_code FROM unit_definitions) GROUP BY 1),
+b AS (SELECT doc_id, block_id, {fold("unit")} AS s0,
+  regexp_extract({fold("regexp_extract(content, '^\\s*([^\\n|][^\\n]*)', 1)")}, '(?:dvt|don vi tinh|don vi|unit|trinh bay theo|tinh bang)\\s*:?\\s*([^()]+?)\\s*\\)?$', 1) AS s1,
+  list_filter(list_transform(headers, lambda h: regexp_extract({fold("h")}, '\\(\\s*([^()]+?)\\s*\\)$', 1)), lambda x: x <> '')[1] AS s2 FROM blocks WHERE block_type = 'table'),
+c AS (SELECT doc_id, block_id, 0 AS k, s0 AS s FROM b UNION ALL SELECT doc_id, block_id, 1, s1 FROM b UNION ALL SELECT doc_id, block_id, 2, s2 FROM b),
+bu AS (SELECT doc_id, block_id, arg_min(code, k) AS code FROM c JOIN names ON s = spelling GROUP BY ALL),
+f AS (SELECT seq, doc_id, table_id, {fold("unit")} AS u, {fold("raw_label")} AS l FROM financial_facts),
+x AS (SELECT *, regexp_extract(l, '.*(?:^|[^a-z])(?:dvt|don vi tinh|don vi|tinh bang|unit)\\s*[:\\s]\\s*([^()\\[\\]]+?)\\s*[)\\]]?$', 1) AS a0, regexp_extract(l, '[\\[(]\\s*([^()\\[\\]]+?)\\s*[\\])]$', 1) AS a1,
+  regexp_extract(l, ',\\s*([^,]+?)$', 1) AS a2, regexp_extract(l, ',\\s*([^,]+,[^,]+?)$', 1) AS a3 FROM f),
+r AS (SELECT seq, coalesce(n.code, n0.code, n1.code, n2.code, n3.code, bu.code, 'VND') AS unit_code FROM x LEFT JOIN names n ON u = n.spelling LEFT JOIN names n0 ON a0 = n0.spelling LEFT JOIN names n1 ON a1 = n1.spelling
+  LEFT JOIN names n2 ON a2 = n2.spelling LEFT JOIN names n3 ON a3 = n3.spelling LEFT JOIN bu ON x.doc_id = bu.doc_id AND x.table_id = bu.block_id)
+SELECT seq, unit_code FROM r JOIN unit_definitions USING (unit_code) WHERE unit_code <> base_unit
+"""
+
+
+ORACLES: dict[str, str] = {"p5_found": _oracle()}
