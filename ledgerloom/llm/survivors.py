@@ -70,7 +70,10 @@ def leaders(facts: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def surviving(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """One record per group of two or more: grouping columns, seq of the leading row, rows, and every bundle's fields."""
-    rows = duplicates(facts, concepts).withColumn("_o", _order())
+    keyed = duplicates(facts, concepts).withColumn("_h", F.xxhash64(*GROUP))
+    # Most groups have one row: a narrow count by hash leaves them out before the fields are gathered.
+    many = keyed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    rows = keyed.join(many, "_h", "left_semi").drop("_h").withColumn("_o", _order())
     bound = ["measure", "place"]
     free = [b for b in BUNDLES if b not in bound]
     best = lambda b: F.max_by(F.struct(*BUNDLES[b]), _trust(BUNDLES[b])).alias(b)
