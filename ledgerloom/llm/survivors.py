@@ -68,12 +68,18 @@ def leaders(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     return grouped.where("rows > 1").select(*GROUP, (-F.col("_lead.first")).alias("seq"), "rows", "_lead")
 
 
-def surviving(facts: DataFrame, concepts: DataFrame) -> DataFrame:
-    """One record per group of two or more: grouping columns, seq of the leading row, rows, and every bundle's fields."""
-    keyed = duplicates(facts, concepts).withColumn("_h", F.xxhash64(*GROUP))
-    # Most groups have one row: a narrow count by hash leaves them out before the fields are gathered.
-    many = keyed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
-    rows = keyed.join(many, "_h", "left_semi").drop("_h").withColumn("_o", _order())
+def surviving(facts: DataFrame, concepts: DataFrame, count_first: bool = True) -> DataFrame:
+    """One record per group of two or more: grouping columns, seq of the leading row, rows, and every bundle's fields.
+
+    count_first: whether a narrow count leaves out groups of one row before the fields are gathered;
+    it pays when many fields are asked for, and changes no result.
+    """
+    rows = duplicates(facts, concepts)
+    if count_first:
+        rows = rows.withColumn("_h", F.xxhash64(*GROUP))
+        many = rows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+        rows = rows.join(many, "_h", "left_semi").drop("_h")
+    rows = rows.withColumn("_o", _order())
     bound = ["measure", "place"]
     free = [b for b in BUNDLES if b not in bound]
     best = lambda b: F.max_by(F.struct(*BUNDLES[b]), _trust(BUNDLES[b])).alias(b)
@@ -104,7 +110,7 @@ def surviving(facts: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return surviving(table(spark, d, "financial_facts"), table(spark, d, "concept_definitions")).select("seq")
+    return surviving(table(spark, d, "financial_facts"), table(spark, d, "concept_definitions"), count_first=False).select("seq")
 
 
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:

@@ -32,6 +32,7 @@ def test_leaders_and_bundles(spark):
     got = s.surviving(facts, concepts).collect()
     assert {r.seq for r in got} == want and len(got) == len(want)
     assert {r.seq for r in s.leaders(facts, concepts).collect()} == want
+    assert sorted(map(repr, s.surviving(facts, concepts, count_first=False).collect())) == sorted(map(repr, got))
     real = {(r[3], r[4], r[9], r[10], r[7], r[8]) for r in keep}
     tables = {(r[3], r[4], r[9], r[10], r[12], r[7], r[8]) for r in keep}
     for r in got:
