@@ -164,7 +164,7 @@ class Machines:
         return pick, worst[np.arange(len(m)), pick]
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int = 6, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int = 6, decay: float = 3e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """A linear support vector machine by averaged stochastic subgradient steps; y is +1 or -1, classes weigh the same."""
     rng = np.random.default_rng(seed)
     w, total, bias, total_bias = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
