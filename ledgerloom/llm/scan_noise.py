@@ -2,7 +2,8 @@
 
 Two averaged perceptrons share the work. The character editor goes through a word sign by sign and
 predicts keep, replace, delete, insert (the signs of one confusion become one, or one becomes two), or
-line-join at a line end. Its features are the signs around, whether the word is known, and how often
+line-join at a line end. A number is judged with its groups joined across '.' and ',', each sign that is
+no digit by the form of the whole and its neighbours; it is repaired when all are to be replaced. For words its features are the signs around, whether the word is known, and how often
 the words occur in the corpus that each edit, with further edits of the same word, would lead to. The
 furniture classifier judges lines by their place in the block and page, the page number, what is left
 of the line without report words, names, codes and years, and whether the line interrupts a sentence.
@@ -50,7 +51,8 @@ PAGE_WORDS = {"trang", "tr", "page", "p", "pg", "of", "so"}
 
 _hyphen = regex.compile(r"([\p{L}\p{M}0-9!|']+)([-‐¬­])[ \t]*\r?\n[ \t]*([\p{L}\p{M}0-9!|']+)")
 _piece = regex.compile(r"[\p{L}\p{M}\p{N}!|'’]+")
-_digit = regex.compile(r"(?<=\d[.,])[lOISB](?![\p{L}\d])|(?<![\p{L}\d.,])[lOISB](?=[.,]\d)|(?<![\p{L}\p{M}\d&.’'(\-])[lO](?![\p{L}\p{M}\d.’')&\-])")
+# A run of digits and of signs that scanning makes of them; '.' and ',' join the groups of one number.
+_number = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[0-9OolISBZgi!|]++(?:[.,][0-9OolISBZgi!|]++(?![\p{L}\p{M}\p{N}]))*+(?![\p{L}\p{M}\p{N}])")
 _sign = regex.compile(r"<[^<>\n]*>|&#?\w+;|\\\[.*?\\\]|\$[^$\n]*\\[^$\n]*\$|\\[a-zA-Z]+|\{[^{}\n]*\}|\]\([^()\s]*\)|`[^`\n]*`|'{2,}|\||(?<=\S)!(?=\s|$)")
 _code = regex.compile(r"\p{Lu}{1,4}\d{1,6}|\d+|\p{L}|[IVXLivxl]+|\d+\p{L}|[a-km-z]\d{1,3}")
 _trailing = regex.compile(r"(?:\s*[._·…]{3,}|(?:\s+[._·…]){2,}|\s+(?=(?:tr|trang|page|p)\b))\s*(?:tr\.?|trang|page|p\.?)?\s*\d{1,4}(?=\s*$|\s*[\[(][^\[\]()]*[\])]\s*$|\s*,[^,]*$|\s+-\s+\D.*$)", regex.I)
@@ -58,6 +60,7 @@ _end = regex.compile(r"[.!?:;…][\"”’)\]]*\s*$")
 _inside = regex.compile(r"(?=.{4})\p{L}[\p{Ll}\p{M}]*[0159!|678][\p{Ll}\p{M}]+")
 _roman = regex.compile(r"[IVXLC]{2,}|[ivx]{2,}")
 _blank = regex.compile(r"\s+")
+_token = regex.compile(r"\S+")
 
 
 def plain(text: str) -> str:
@@ -89,16 +92,6 @@ def variants(word: str, most: int = 3, cap: int = 400) -> dict[str, tuple[tuple[
     return out
 
 
-def number_of(word: str) -> str | None:
-    """The number a word stands for, if letters stand among its digits; None for others."""
-    digits = sum(c.isdigit() for c in word)
-    if not digits or digits == len(word) or not all(c.isdigit() or c in NUMERIC for c in word):
-        return None
-    if not (word[0].isdigit() or word[0] in "OlI") or digits * 2 < len(word):
-        return None
-    return "".join(NUMERIC.get(c, c) for c in word)
-
-
 class Perceptron:
     """An averaged perceptron over sets of named features."""
 
@@ -161,6 +154,7 @@ class Editor:
         self.model = Perceptron()
         self.known: dict[str, str | None] = {}
         self.joins: dict[tuple[str, str, str], bool] = {}
+        self.numbers: dict[tuple[str, str, str], str | None] = {}
 
     def count(self, word: str) -> int:
         """How often a word occurs, counting it as the unaccented spelling of others, too."""
@@ -223,9 +217,6 @@ class Editor:
             return None
         if _roman.fullmatch(piece):
             return None
-        number = number_of(piece)
-        if number is not None and not _code.fullmatch(piece):
-            return number
         # A code (letters, then digits) is a word only when it becomes a common one, without digits.
         if _code.fullmatch(piece) and (len(lower) < 3 or max((self.count(v) for v in variants(lower) if v.isalpha()), default=0) < 20) and not (len(lower) == 2 and lower[0].isdigit() or lower in SHORT_WORDS):
             return None
@@ -243,6 +234,96 @@ class Editor:
             fixed = fixed[:1].upper() + fixed[1:]
         return fixed
 
+    def number_features(self, number: str, at: int, before: str, after: str) -> list[str]:
+        """Of one sign of a number whose groups are joined: the signs there and around, the form of the number, and what stands beside it."""
+        kind = lambda c: "9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c
+        beside = lambda c: c if c in "^ .,;:()[]%$-–/&'’+~" else "?"
+        c, left, right = number[at], number[at - 1] if at else "^", number[at + 1 : at + 2] or "$"
+        groups, digits = regex.split("[.,]", number), sum(x.isdigit() for x in number)
+        meant = "".join(NUMERIC.get(x, x) for x in number)
+        if len(groups) > 1:
+            form = "grouped" if len(groups[0]) <= 3 and all(len(g) == 3 for g in groups[1:]) else "decimal" if len(groups) == 2 and len(groups[1]) <= 2 else "parts"
+        else:
+            form = "lone" if len(number) == 1 else "year" if len(number) == 4 and meant[:2] in ("19", "20") else "plain"
+        code = _code.fullmatch(number) is not None
+        word = len(groups) == 1 and len(number) > 1 and max((self.count(v) for v in (number.lower(), *variants(number.lower())) if v.isalpha()), default=0) >= 20
+        roman = any(set(g) <= {"I"} for g in groups)
+        known = f"{form}{min(digits, 3)}{word}"
+        return [
+            "#1", f"#s={c}{form}", f"#k={kind(left)}{c}{kind(right)}", f"#k={kind(left)}{kind(c)}{kind(right)}{form}", f"#n={known}", f"#code={code}{form}", f"#code={code}{form}{c}", f"#roman={roman}{form}{digits > 0}", f"#lead={kind(number[0])}{form}{',' in number}",
+            f"#before={beside(before or ' ')}{form}", f"#after={beside(after or ' ')}{form}", f"#lone={form == 'lone' and c + beside(before or ' ')}", f"#lone={form == 'lone' and c + beside(after or ' ')}", f"#only={digits == 0}{form}", f"#groups={len(groups)}{form}{digits > 0}",
+            f"#shape={''.join(map(kind, number)) if len(number) < 6 else form}", f"#tail={sum(not x.isdigit() for x in number) == 1}{at == len(number) - 1}{form}{c}",
+        ]
+
+    def number(self, number: str, before: str = "", after: str = "") -> str | None:
+        """The number that a run of digits and confusable signs stands for, or None when it is kept."""
+        if not any(c in NUMERIC for c in number):
+            return None
+        key = (number, before, after)
+        if key not in self.numbers:
+            if len(self.numbers) > 400_000:
+                self.numbers.clear()
+            wrong = all(self.model.best(self.number_features(number, k, before, after), ("keep", "replace")) == "replace" for k, c in enumerate(number) if c in NUMERIC)
+            self.numbers[key] = "".join(NUMERIC.get(c, c) for c in number) if wrong else None
+        return self.numbers[key]
+
+    def _number_rows(self, seed: int = 7, drawn: int = DRAWN) -> list[tuple[list[str], str, tuple[str, ...]]]:
+        """Training numbers made by rule: grouped, decimal, years and plain ones, damaged in any place; codes, numerals and words of the same signs."""
+        rng = random.Random(seed)
+        back = {"0": "OOOOOo", "1": "lllllIIi!|", "2": "Z", "5": "S", "8": "B", "9": "g"}
+        rows: list[tuple[list[str], str, tuple[str, ...]]] = []
+
+        def add(number: str, before: str, after: str, label: str) -> None:
+            rows.extend((self.number_features(number, k, before, after), label, ("keep", "replace")) for k, c in enumerate(number) if c in NUMERIC)
+
+        for _ in range(drawn):
+            form, sep = rng.choice(["grouped", "grouped", "grouped", "decimal", "year", "year", "plain", "lone"]), rng.choice(".,")
+            before, after = rng.choice(["", "", "", "", "(", "-", "$", "/", "–", "~", "+"]), rng.choice(["", "", "", ".", ",", ")", "%", ";", ":", "/", "-", "’"])
+            if form == "grouped":
+                n = f"{rng.randint(1, 10 ** rng.randint(1, 3) - 1)}{''.join(f'{sep}{rng.randint(0, 999):03d}' for _ in range(rng.choice([1, 1, 1, 2, 2, 3])))}"
+            elif form == "decimal":
+                n, after = f"{rng.randint(0, 999)}{sep}{rng.randint(0, 99 if rng.random() < 0.5 else 9)}", rng.choice([after, "%", "%"])
+            elif form == "year":
+                n = str(rng.randint(1990, 2039))
+            elif form == "plain":
+                n = str(rng.randint(100, 99_999))
+            else:
+                n, before, after = rng.choice("01"), rng.choice(["", "", "^", "$"]), rng.choice(["", "", ",", "%", ";", ":"])
+            places = [k for k, c in enumerate(n) if c in back]
+            if places:
+                v = list(n)
+                for k in rng.sample(places, min(len(places), rng.choice([1, 1, 2, 2, 3, 9]))):
+                    v[k] = rng.choice(back[n[k]])
+                if form == "lone":
+                    v = ["l" if n == "1" else "O"]
+                # A plain number whose only letter is the first or the last looks like a code and is none here.
+                if form != "plain" or not _code.fullmatch("".join(v)):
+                    add("".join(v), before, after, "replace")
+        letters, small = "OISBZ", "oligi!|"
+        words = sorted(w for w, n in self.lexicon.items() if n >= 20 and len(w) > 1)
+        likely = [v for w in words for v in (w, w.upper(), *(w.replace(a, b) for a, b in (("o", "0"), ("i", "1"), ("l", "1"), ("s", "5"), ("g", "9")))) if _number.fullmatch(v) and any(c in NUMERIC for c in v)]
+        for _ in range(drawn):
+            before, after = rng.choice(["", "", "", "(", "-", "/", ".", "’", "'", "&"]), rng.choice(["", "", "", ".", ",", ")", ":", "-", "/", "’", "'", "&"])
+            a, n = rng.choice(letters), rng.randint(1, 99)
+            kind = rng.random()
+            if kind < 0.25:  # codes
+                v = rng.choice([f"{a}{n}", f"{a}{n}", f"{a}{rng.choice(letters)}{rng.randint(0, 399):03d}", f"{a}{rng.randint(1, 9)}{a}", f"{n}{rng.choice(letters + 'gl')}", f"{a}{rng.randint(100, 999)}"])
+            elif kind < 0.5:  # numbers of sections
+                v = rng.choice([f"{a}.{rng.randint(1, 30)}", f"{a}.{rng.randint(1, 9)}.{rng.randint(1, 9)}", f"{a}.{'I' * rng.randint(1, 3)}", f"{'I' * rng.randint(1, 3)}.{rng.randint(1, 12)}", f"{rng.randint(1, 9)}.{a}", f"{rng.randint(1, 12)}.{'I' * rng.randint(1, 3)}", f"{a}.{rng.choice(letters)}"])
+                before, after = rng.choice(["", "", "", "("]), rng.choice(["", "", ".", ")", ":"])
+            elif kind < 0.75:  # one sign: numerals, names, list marks
+                v = rng.choice(["I", "B", "S", "i", "o", "g", "Z", "!", "|", "l", "O", "i"])
+                if v in "lO":
+                    before, after = rng.choice([("(", ")"), ("", "'"), ("", "’"), ("&", ""), ("", "&"), (".", ""), ("", "."), ("-", ""), ("", "-"), ("’", ""), ("'", ""), ("", ")")])
+            elif kind < 0.85:
+                v = "I" * rng.randint(2, 3)
+            elif kind < 0.93 or not likely:
+                v = "".join(rng.choice(small) for _ in range(rng.randint(2, 3)))
+            else:
+                v = rng.choice(likely)
+            add(v, before, after, "keep")
+        return rows
+
     def join_features(self, a: str, sign: str, b: str) -> list[str]:
         x = self.lexicon.get
         a, b = a.lower(), b.lower()
@@ -306,6 +387,7 @@ class Editor:
                 a, _, b = w.partition("-")
                 rows.append((self.join_features(a, "-", b), "keep", ("keep", "line-join")))
         self.model.train(rows)
+        self.model.train(self._number_rows())  # no feature is shared with words
         return self
 
 
@@ -428,6 +510,7 @@ class Repairer:
             self.editor.model = editor
         self.furniture = furniture or Perceptron().train(_line_rows(), rounds=8)
         self.names = names or {}
+        self.clean: set[str] = set()
 
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
         line = lines[k].strip()
@@ -436,26 +519,39 @@ class Repairer:
             return False
         return self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
 
-    def words(self, text: str) -> dict[str, str]:
-        """The damaged pieces of a text and what they become."""
-        out = {}
-        if "<" in text or "\\" in text or "{" in text or "`" in text or "](" in text or "''" in text or "|" in text or "!" in text or "&" in text:
-            spared = _sign.sub(lambda m: m.group() if m.group() == "|" and 0 < m.start() < len(text) - 1 and text[m.start() - 1].isalpha() or m.group() == "|" and m.end() < len(text) and text[m.end()].isalpha() else " ", text)
-        else:
-            spared = text
-        known = self.editor.known
+    @staticmethod
+    def spared(text: str) -> str:
+        """A text with blanks in place of markup, as long as before."""
+        if not ("<" in text or "\\" in text or "{" in text or "`" in text or "](" in text or "''" in text or "|" in text or "!" in text or "&" in text):
+            return text
+        return _sign.sub(lambda m: m.group() if m.group() == "|" and 0 < m.start() < len(text) - 1 and text[m.start() - 1].isalpha() or m.group() == "|" and m.end() < len(text) and text[m.end()].isalpha() else " " * len(m.group()), text)
+
+    def words(self, spared: str) -> tuple[dict[str, str], dict[str, str]]:
+        """The damaged pieces of a text without markup and what they become, and its tokens with damaged numbers and what they become."""
+        out, numbers = {}, {}
+        clean = self.clean
         for token in set(spared.split()):
-            if token in known and known[token] is None:
+            if token in clean:
                 continue
-            clean = True
-            for p in _piece.findall(token):
+            rest, whole = token, token
+            for m in _number.finditer(token):
+                fixed = self.editor.number(m.group(), token[m.start() - 1 : m.start()] if m.start() else "", token[m.end() : m.end() + 1])
+                if fixed is not None:  # as long as before
+                    whole = whole[: m.start()] + fixed + whole[m.end() :]
+                    rest = rest[: m.start()] + " " * len(fixed) + rest[m.end() :]
+            if whole != token:
+                numbers[token] = whole
+            found = False
+            for p in _piece.findall(rest):
                 fixed = self.editor.repaired(p)
                 if fixed is not None:
                     out[p] = fixed
-                    clean = False
-            if clean and len(known) < 400_000:
-                known[token] = None
-        return out
+                    found = True
+            if not found and whole == token:
+                if len(clean) > 400_000:
+                    clean.clear()
+                clean.add(token)
+        return out, numbers
 
     def repair(self, text: str, page: int | None = None, code: str = "", year: str = "", label: bool = False, write: bool = True) -> tuple[str, list[str]]:
         """The repaired text and the kinds of damage found."""
@@ -482,12 +578,16 @@ class Repairer:
             text = _hyphen.sub(join, text)
             if done:
                 kinds.append("line-join")
-        edits = self.words(text)
-        if edits or _digit.search(_sign.sub(" ", text) if "{" in text or "<" in text else text):
+        spared = self.spared(text)
+        edits, numbers = self.words(spared)
+        if edits or numbers:
             kinds.append("character")
         if not write:
             return text, kinds
-        text = _digit.sub(lambda m: NUMERIC[m.group()], text)
+        if numbers:
+            for m in _token.finditer(spared):
+                if m.group() in numbers:
+                    text = text[: m.start()] + numbers[m.group()] + text[m.end() :]
         if edits:
             text = _piece.sub(lambda m: edits.get(m.group(), m.group()), text)
         return self.paragraphs(text), kinds

@@ -61,3 +61,24 @@ def test_awkward_rows(spark):
     assert len(out) == 5 and all(not r.damage for r in out)
     assert {r.record_key: r.clean for r in out}["1"] is None
     assert s.repaired(df.where("false"), co).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("an amount of 62.S39 in the year", "an amount of 62.539 in the year"),
+        ("an amount of 24.S92, 1.S64 and 8.B02", "an amount of 24.592, 1.564 and 8.802"),
+        ("the loan of SB.B36 or 9,3Sl", "the loan of 58.836 or 9,351"),
+        ("the loan of 4.9lO, 3.ll6 or 1Z.B36.OOO", "the loan of 4.910, 3.116 or 12.836.000"),
+        ("in the year 2OlS, 202O and 20lB.", "in the year 2015, 2020 and 2018."),
+        ("<td>62.S39</td> of the loan", "<td>62.539</td> of the loan"),
+        ("khoản vay S,5% trong năm", "khoản vay 5,5% trong năm"),
+    ],
+)
+def test_numbers_are_judged_whole(repairer, text, clean):
+    assert repairer.repair(text) == (clean, ["character"])
+
+
+@pytest.mark.parametrize("text", ["Form B36 of the group, S39, ZZ066 and B8-ZZ194", "B.1 Khoản vay, I.2 tổng, II.3 and B.III", "U.S. loan, 12.345 and 6,9% in 2019", "the plan (l) and (i), 5B"])
+def test_codes_and_section_numbers_are_no_numbers(repairer, text):
+    assert repairer.repair(text) == (text, [])
