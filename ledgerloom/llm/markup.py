@@ -16,6 +16,7 @@ texts have no markup and stay as they are.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 
@@ -136,6 +137,24 @@ def nodes_of(text: str) -> list[Node]:
     return out
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """By code point, one bit each: letter, digit, sign of formulas, '=', '|'."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out[[ord(c) for c in _letters.findall(every)]] |= 1
+    out[[ord(c) for c in every if c.isdigit()]] |= 2
+    for bit, signs in ((4, "\\^{}="), (8, "="), (16, "|")):
+        out[[ord(c) for c in signs]] |= bit
+    return out
+
+
+def _sums(text: str) -> list[list[int]]:
+    """For each class of signs, how many stand before each place of a text."""
+    kinds = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return [[0, *np.cumsum(kinds & bit != 0).tolist()] for bit in (1, 2, 4, 8, 16)]
+
+
 def features_of(text: str, nodes: list[Node]) -> np.ndarray:
     """The features of each node."""
     x = np.zeros((len(nodes), FEATURES))
@@ -147,19 +166,20 @@ def features_of(text: str, nodes: list[Node]) -> np.ndarray:
         f = _KINDS[n.kind][1]
         family[f] = family.get(f, 0) + 1
         children[n.parent] = children.get(n.parent, 0) + 1
+    sums = _sums(text)
     for k, n in enumerate(nodes):
-        inner = text[n.inner : max(n.close, n.until if n.until > n.inner else n.close)][:400]
-        source = text[n.begin : n.end][:400]
+        a, b = n.inner, max(n.inner, n.close, n.until)
+        size, source = b - a, text[n.begin : n.end] if _KINDS[n.kind][0] == "entity" else ""
         before = text[n.begin - 1] if n.begin else "\n"
         after = text[n.end] if n.end < len(text) else "\n"
-        letters = len(_letters.findall(inner))
-        digits = sum(c.isdigit() for c in inner)
+        letters, digits, signs = (s[b] - s[a] for s in sums[:3])
+        equals, bars = (s[n.end] - s[n.begin] for s in sums[3:])
         x[k] = (
-            n.kind, _KINDS[n.kind][1], n.depth, n.partner >= 0, len(inner), letters / (len(inner) + 1), digits / (len(inner) + 1),
-            inner[:1].isspace() or inner[-1:].isspace(), before == "\n", after == "\n", before.isalnum(), after.isalnum(),
-            same[n.parent, n.kind], family[_KINDS[n.kind][1]], letters / (n.end - n.begin), source.count("="),
+            n.kind, _KINDS[n.kind][1], n.depth, n.partner >= 0, size, letters / (size + 1), digits / (size + 1),
+            size > 0 and (text[a].isspace() or text[b - 1].isspace()), before == "\n", after == "\n", before.isalnum(), after.isalnum(),
+            same[n.parent, n.kind], family[_KINDS[n.kind][1]], letters / (n.end - n.begin), equals,
             n.name in TAGS or n.name in COMMANDS or n.name[:1] == "\\" or (_KINDS[n.kind][0] == "entity" and html.unescape(source) != source),
-            any(c in inner for c in "\\^{}=") , children.get(k, 0), source.count("|"), inner[:1].isdigit(), len(source),
+            signs > 0, children.get(k, 0), bars, size > 0 and text[a].isdigit(), n.end - n.begin,
         )
     return x
 

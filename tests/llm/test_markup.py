@@ -65,3 +65,13 @@ def test_boosting_learns():
     x = np.random.default_rng(0).normal(size=(500, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     assert ((boosting.fit(x, y).score(x) > 0) == y).mean() > 0.95
+
+
+def test_features_cover_the_whole_subtree():
+    inner = "word " * 100 + "1234567890" * 60 + " x = {2}|"
+    text = f"<p title=\"{'a' * 420}=|\">{inner}</p>"
+    nodes = m.nodes_of(text)
+    x = m.features_of(text, nodes)[0]
+    letters, digits, size = 401, 601, len(inner)
+    assert x[4] == size and x[5] == letters / (size + 1) and x[6] == digits / (size + 1)
+    assert x[14] == letters / nodes[0].inner and (x[15], x[19], x[21]) == (2, 1, nodes[0].inner) and x[17] == 1
