@@ -116,9 +116,7 @@ def converted(facts: DataFrame, blocks: DataFrame, units: DataFrame, default: st
     facts = facts.drop("unit_code", "quantity", "base_unit", "factor", "base_value")
     own = facts.withColumn("_field", folded(F.col("unit")))
     own = own.join(names.select(F.col("_spelling").alias("_field"), F.col("_code").alias("_of_field")), "_field", "left")
-    # Labels with a unit have a comma, a bracket, or the v of a unit word in some form; others skip the patterns.
-    may = F.col("_of_field").isNull() & F.col("raw_label").rlike("[,)\\]:vV\\uff0c\\uff09\\uff3d\\uff1a\\uff36\\uff56\\x{1d415}\\x{1d42f}]")
-    own = own.withColumn("_c", F.when(may, label_candidates(F.col("raw_label"))))
+    own = own.withColumn("_c", F.when(F.col("_of_field").isNull(), label_candidates(F.col("raw_label"))))
     for k in range(4):
         own = own.join(names.select(F.col("_spelling").alias(f"_s{k}"), F.col("_code").alias(f"_l{k}")), F.get(F.col("_c"), F.lit(k)) == F.col(f"_s{k}"), "left")
     own = own.withColumn("_of_row", F.coalesce("_of_field", "_l0", "_l1", "_l2", "_l3")).drop("_field", "_of_field", "_c", *[f"_{x}{k}" for x in "sl" for k in range(4)])

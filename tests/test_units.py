@@ -58,3 +58,10 @@ def test_spellings_are_unambiguous(spark):
     s = units.spellings(spark.createDataFrame(DEFINED, UNITS))
     assert s.groupBy("spelling").count().where("count > 1").count() == 0
     assert s.where(F.col("spelling").isin(units.PLACEHOLDERS)).count() == 0
+
+
+def test_unit_words_without_signs_in_the_label(spark):
+    labels = ["Doanh thu tính bằng nghìn đồng", "Doanh thu TÍNH BẰNG triệu đồng", "Sales unit thousand dollars", "Lãi gộp tinh bang USD", "Doanh thu"]
+    rows = [(k, "d", None, x, None, 1.0, "x") for k, x in enumerate(labels)]
+    got = units.converted(spark.createDataFrame(rows, FACTS), spark.createDataFrame([], BLOCKS), spark.createDataFrame(DEFINED, UNITS)).collect()
+    assert {r.seq: r.unit_code for r in got} == {0: "NGHIN_VND", 1: "TRIEU_VND", 2: "NGHIN_USD", 3: "USD", 4: "VND"}
