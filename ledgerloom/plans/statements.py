@@ -16,7 +16,7 @@ def facts_of_blocks(b: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def audited_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Per document: facts, concepts, checks, failed checks, ratios and the share of facts in base units, from tables as they are."""
+    """Per document: facts, concepts, checks, failed checks and ratios, from tables as they are; base_unit_shares has the share of facts in base units."""
     f, c = table(spark, d, "financial_facts"), table(spark, d, "concept_definitions")
     chosen = facts.winners(f, c)
     w = audit.wide(chosen)
@@ -36,14 +36,22 @@ def extracted_against_stored(spark: SparkSession, d: str) -> DataFrame:
     return both.join(known, "concept", "left_semi").groupBy("concept").agg(F.count("n").alias("read"), F.count("o").alias("stored"), F.count_if(F.col("n").isNotNull() & F.col("o").isNotNull()).alias("both"))
 
 
+def _converted(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "financial_facts").select("seq", "doc_id", "table_id", "raw_label", "unit", "value")
+    return units.converted(f, table(spark, d, "blocks"), table(spark, d, "unit_definitions"))
+
+
 def values_in_base_units(spark: SparkSession, d: str) -> DataFrame:
-    """Document totals of assets in base units against the recorded values."""
-    f = table(spark, d, "financial_facts").where("concept = 'ASSETS_TOTAL' and period_type = 'current'")
-    out = units.converted(f.select("seq", "doc_id", "table_id", "raw_label", "unit", "value"), table(spark, d, "blocks"), table(spark, d, "unit_definitions"))
-    return out.select("seq", "doc_id", "unit_code", "value", "base_value")
+    """Every fact, of all concepts and periods: its value in the base unit against the recorded one."""
+    return _converted(spark, d).select("seq", "doc_id", "unit_code", "value", "base_value")
+
+
+def base_unit_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: facts and the share of them recorded in base units."""
+    return _converted(spark, d).groupBy("doc_id").agg(F.count("*").alias("facts"), F.avg((F.col("unit_code") == F.col("base_unit")).cast("int")).alias("in_base_units"))
 
 
-QUERIES = {f.__name__: f for f in (audited_documents, extracted_against_stored, values_in_base_units)}
+QUERIES = {f.__name__: f for f in (audited_documents, extracted_against_stored, values_in_base_units, base_unit_shares)}
 ORACLES = {
     "audited_documents": f"""
 WITH {audit._C}, n AS (SELECT doc_id, count(*) AS facts, count(DISTINCT concept) AS concepts FROM financial_facts GROUP BY 1), k AS (SELECT doc_id, count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed FROM ch GROUP BY 1),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import units
+from ledgerloom.plans import statements
 
 FACTS = "seq bigint, doc_id string, table_id string, raw_label string, unit string, value double, factor string"
 BLOCKS = "doc_id string, block_id string, block_type string, content string, headers array<string>, unit string"
@@ -65,3 +66,11 @@ def test_unit_words_without_signs_in_the_label(spark):
     rows = [(k, "d", None, x, None, 1.0, "x") for k, x in enumerate(labels)]
     got = units.converted(spark.createDataFrame(rows, FACTS), spark.createDataFrame([], BLOCKS), spark.createDataFrame(DEFINED, UNITS)).collect()
     assert {r.seq: r.unit_code for r in got} == {0: "NGHIN_VND", 1: "TRIEU_VND", 2: "NGHIN_USD", 3: "USD", 4: "VND"}
+
+
+def test_plans_convert_every_fact(spark, tmp_path):
+    facts = [(1, "d", None, "A", "USD", 2.0, "ASSETS_TOTAL", "current"), (2, "d", None, "A", "VND", 3.0, "ASSETS_TOTAL", "previous"), (3, "d", None, "B", "nghìn đồng", 4.0, "CASH", "current"), (4, "e", None, "C", None, None, None, None)]
+    for name, rows, kind in (("financial_facts", facts, FACTS.replace("factor string", "concept string, period_type string")), ("blocks", [], BLOCKS), ("unit_definitions", DEFINED, UNITS)):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r.seq: r.base_value for r in statements.values_in_base_units(spark, str(tmp_path)).collect()} == {1: 50e3, 2: 3.0, 3: 4e3, 4: None}
+    assert {r.doc_id: (r.facts, round(r.in_base_units, 3)) for r in statements.base_unit_shares(spark, str(tmp_path)).collect()} == {"d": (3, 0.333), "e": (1, 1.0)}
