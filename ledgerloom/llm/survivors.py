@@ -4,10 +4,10 @@ Fields that depend on each other survive together: (value, unit), (page, table_i
 (standard_code), (confidence, source, verification_status, verification_detail). A bundle is taken
 whole from one row. The functional dependency table_id -> (unit, page) binds the value bundle to the
 place bundle: both must come from rows of one table. The trust of a result is the sum over bundles of
-their trust, in the lexicographic order below; branch and bound finds the maximum: a branch fixes the
-table, its completion is the best bundle of each kind within the branch, its bound is what the free
-bundles could reach at best, and the incumbent is the group's leading row with all its own bundles.
-Branches whose bound is under the incumbent are cut.
+their trust, in the lexicographic order below. The search is exhaustive: a branch fixes the table, every
+branch is completed with its best bundle of each kind, and the best branch is taken; none is bounded or
+cut, as a branch costs one row of a partial aggregate. p6_found asks for the leading row (the incumbent)
+alone and needs no bundle.
 
 Everything is partial aggregates: best bundles per branch, then the best branch per group. No group
 is ever collected, so a group that holds a third of all rows is combined map-side like any other.
@@ -94,8 +94,7 @@ def surviving(facts: DataFrame, concepts: DataFrame, count_first: bool = True) -
         (F.col("measure_trust.filled") + F.col("place_trust.filled")).alias("filled"),
         F.col("measure_trust.row").alias("row"),
     )
-    # Bound: the free bundles add the same to every branch, so a branch is cut when its bound part is
-    # under that of the best branch; max_by keeps that one.
+    # The free bundles add the same to every branch, so the bound part alone decides among all branches.
     chosen = branches.groupBy(*GROUP).agg(
         F.max("_lead").alias("_lead"), F.sum("_n").alias("rows"),
         F.max_by("standard_code", F.col("_lead")).alias("standard_code"),
