@@ -515,7 +515,7 @@ class Repairer:
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
         line = lines[k].strip()
         # What every line with a page number or a mark of the report has; others are text without asking.
-        if not line or len(line) > 90 or not (len(line) < 20 and any(map(str.isdigit, line)) or (year and year in line) or (code and code in line) or " – " in line or " | " in line):
+        if not line or not (len(line) < 20 and any(map(str.isdigit, line)) or (year and year in line) or (code and code in line) or " – " in line or " | " in line):
             return False
         return self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
 

@@ -82,3 +82,11 @@ def test_numbers_are_judged_whole(repairer, text, clean):
 @pytest.mark.parametrize("text", ["Form B36 of the group, S39, ZZ066 and B8-ZZ194", "B.1 Khoản vay, I.2 tổng, II.3 and B.III", "U.S. loan, 12.345 and 6,9% in 2019", "the plan (l) and (i), 5B"])
 def test_codes_and_section_numbers_are_no_numbers(repairer, text):
     assert repairer.repair(text) == (text, [])
+
+
+def test_long_running_header(repairer):
+    line = "Công ty Cổ phần Kỳ Hồ Triều – Báo cáo năm 2015 | Phần thuyết minh kèm theo báo cáo năm 2015 | XX017"
+    clean, kinds = repairer.repair(f"khoản vay được theo dõi trong năm và thông qua\n{line}\nmức chi phí của công ty theo kế hoạch trong năm.", 7, "XX017", "2015")
+    assert len(line) > 90 and kinds == ["furniture"] and line not in clean
+    text = "khoản vay được theo dõi trong năm 2015 và thông qua mức chi phí của công ty theo kế hoạch trong năm của tổng công ty."
+    assert repairer.repair(text, 7, "XX017", "2015") == (text, [])
