@@ -653,13 +653,13 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
     """items (field, record_key, text, doc_id, page) with `clean` (null unless `write`) and `damage`, the kinds found.
 
     doc_id begins with the company's code and the year, as report keys do; without them, lines are
-    judged by the rest. Company names are a dictionary of bounded size: names of up to `MOST` codes.
+    judged by the rest. Company names are joined by code, the least of a code's names.
     """
     spark = items.sparkSession
     words = lexicon(items, "text")
-    names = {r[0]: plain(r[1]) for r in companies.where("code is not null and name is not null").select("code", "name").orderBy("code").limit(MOST).collect()}
+    names = companies.where("code is not null and name is not null").groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_name"))
     first = Repairer(words)
-    shipped = spark.sparkContext.broadcast((words, first.editor.model, first.furniture, names))
+    shipped = spark.sparkContext.broadcast((words, first.editor.model, first.furniture))
     made: dict = {}
     kind = pa.list_(pa.string())
 
@@ -670,7 +670,7 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
         cache = made.setdefault("labels", {})
         form, _ = one_form(b.column(2))
         clean, damage = [], []
-        for field, text, doc, page in zip(b.column(0).to_pylist(), form.to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+        for field, text, doc, page, name in zip(b.column(0).to_pylist(), form.to_pylist(), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
             if not text or text.isspace():
                 clean.append(text)
                 damage.append([])
@@ -678,6 +678,10 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
             label = field.endswith("raw_label")
             parts = (doc or "").split("_")
             code, year = parts[0], parts[1] if len(parts) > 1 else ""
+            if name is not None and code not in r.names:
+                if len(r.names) > 300_000:
+                    r.names.clear()
+                r.names[code] = plain(name)
             key = text if label and "\n" not in text else None
             hit = cache.get(key) if key is not None else None
             if hit is None:
@@ -690,7 +694,8 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
             damage.append(hit[1])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(clean, type=pa.string()), pa.array(damage, type=kind)], names=["field", "record_key", "clean", "damage"])
 
-    return mapped(items.select("field", "record_key", "text", "doc_id", "page"), run, "field string, record_key string, clean string, damage array<string>")
+    named = items.withColumn("_code", F.substring_index("doc_id", "_", 1)).join(names, "_code", "left")
+    return mapped(named.select("field", "record_key", "text", "doc_id", "page", "_name"), run, "field string, record_key string, clean string, damage array<string>")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

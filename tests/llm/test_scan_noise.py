@@ -90,3 +90,12 @@ def test_long_running_header(repairer):
     assert len(line) > 90 and kinds == ["furniture"] and line not in clean
     text = "khoản vay được theo dõi trong năm 2015 và thông qua mức chi phí của công ty theo kế hoạch trong năm của tổng công ty."
     assert repairer.repair(text, 7, "XX017", "2015") == (text, [])
+
+
+def test_company_names_beyond_any_count(spark, monkeypatch):
+    monkeypatch.setattr(s, "MOST", 1)
+    text = "khoản vay được theo dõi trong năm và thông qua\n{} – Ghi chú\nmức chi phí của công ty theo kế hoạch trong năm."
+    rows = [("f", "1", text.format("Gỗ Đá Nước"), "AA_2015", 7), ("f", "2", text.format("Dệt may bến bãi"), "BB_2015", 7), ("f", "3", text.format("Dệt may bến bãi"), "CC_2015", 7), ("f", "4", text.format("Dệt may bến bãi"), None, 7)]
+    df = spark.createDataFrame(rows, "field string, record_key string, text string, doc_id string, page int")
+    co = spark.createDataFrame([("AA", "Gỗ Đá Nước"), ("BB", "Dệt may bến bãi"), ("BB", None), ("BB", "Dệt may bến bãi")], "code string, name string")
+    assert {r.record_key: r.damage for r in s.repaired(df, co).collect()} == {"1": ["furniture"], "2": ["furniture"], "3": [], "4": []}
