@@ -8,9 +8,12 @@ skeletons under the Levenshtein distance; triangle-inequality pruning returns ev
 that grows with the label's length. The nearest wins if no other entry is as near; else, with accents
 and unconfused, the nearest of these; a tie of entries, or none within the limit, is UNMATCHED.
 
-References are broadcast in shards of `shard` names each; winners of the shards merge by the least
-distance. Distinct labels of a batch are looked up together, and kept per worker. Null and empty labels
-are UNMATCHED; repeated rows each give their row.
+A list of up to `shard` names, counted first, is broadcast. A longer one is cut into shards of about that
+size by a hash of the name: distinct labels, in blocks of `block`, meet every shard, each pair of block
+and shard in a task of its own that builds one tree; the shards' winners merge by the least distance, and
+labels get their entry by a join. No task, and never the driver, holds more than one shard or block.
+Answers are the same for every number of shards. Distinct labels of a batch are looked up together, and
+kept per worker. Null and empty labels are UNMATCHED; repeated rows each give their row.
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ from ledgerloom.operators.units import BASES, SCALES
 from ledgerloom.tables import table
 
 UNMATCHED = "UNMATCHED"
-#: Names of references broadcast at once.
+#: (found only unconfused, distance of skeletons, distance with accents, entry)
+Found = tuple[bool, int, int, str]
+#: Names of references in one shard, and distinct labels in one block.
 SHARD = 20_000
+BLOCK = 50_000
 KEPT = 500_000
 # Telex typing of letters and of tones.
 TELEX_LETTERS = {"ă": "aw", "â": "aa", "ê": "ee", "ô": "oo", "ơ": "ow", "ư": "uw", "đ": "dd"}
@@ -150,89 +156,82 @@ def limit(length: int) -> int:
 
 
 class Reference:
-    """One shard of a reference list: the tree of its skeletons, and the entries of each."""
+    """One shard of a reference list: the trees of its skeletons and of its unconfused forms, and the names of each entry behind a skeleton."""
 
     def __init__(self, names: list[tuple[str, str]]) -> None:
         """names: (entry, a name of it) rows."""
-        self.entries: dict[str, set[str]] = defaultdict(set)
-        self.names: dict[str, set[str]] = defaultdict(set)
+        self.names: dict[str, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
         self.plain: dict[str, str] = {}
         for entry, name in names:
             for form in written(name):
                 s = skeleton(form)
-                self.entries[s].add(entry)
-                self.names[s].add(name.lower())
+                self.names[s][entry].add(name.lower())
                 self.plain[form] = s
-        self.tree = Tree(sorted(self.entries))
+        self.tree = Tree(sorted(self.names))
         self.plain_tree = Tree(sorted(self.plain))
 
-    def nearest(self, stems_: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Per stem, (distance of skeletons, distance with accents, entry) of every entry within the limit."""
+    def nearest(self, stems_: list[str]) -> list[list[Found]]:
+        """Per stem, the nearest entries within the limit; those found by skeletons before those found unconfused."""
         skeletons = [skeleton(s) for s in stems_]
         limits = np.array([limit(len(s)) for s in skeletons], dtype=np.int64)
-        out: list[list[tuple[int, int, str]]] = [[] for _ in stems_]
-        slow = []
-        for k, s in enumerate(skeletons):
-            if s in self.entries and len(self.entries[s]) == 1:
-                out[k] = [(0, 0, next(iter(self.entries[s])))]
-            elif limits[k]:
-                slow.append(k)
-        found = self.tree.within([skeletons[k] for k in slow], limits[slow])
+        found: list[list[tuple[int, str]]] = [[(0, s)] if s in self.names else [] for s in skeletons]
+        slow = [k for k, hits in enumerate(found) if not hits and limits[k]]
+        for k, hits in zip(slow, self.tree.within([skeletons[k] for k in slow], limits[slow]), strict=True):
+            found[k] = hits
         # A typing error can make or break a confused pair; what is not found so is looked up unconfused.
-        rest = [i for i, hits in enumerate(found) if not hits]
-        bare = [skeleton(stems_[slow[i]], confused=False) for i in rest]
-        for i, hits in zip(rest, self.plain_tree.within(bare, np.array([limit(len(s)) for s in bare], dtype=np.int64)), strict=True):
-            found[i] = [(d, self.plain[w]) for d, w in hits]
-        for k, hits in zip(slow, found, strict=True):
+        rest = [k for k in slow if not found[k]]
+        bare = [skeleton(stems_[k], confused=False) for k in rest]
+        for k, hits in zip(rest, self.plain_tree.within(bare, np.array([limit(len(s)) for s in bare], dtype=np.int64)), strict=True):
+            found[k] = [(d, self.plain[w]) for d, w in hits]
+        second = set(rest)
+        out = []
+        for k, hits in enumerate(found):
             best = min((d for d, _ in hits), default=None)
-            for d, w in hits:
-                for entry in self.entries[w]:
-                    fine = min(distance(stems_[k], n) for n in self.names[w]) if d == best else 99
-                    out[k].append((d, fine, entry))
+            out.append([(k in second, d, min(distance(stems_[k], n) for n in names), entry) for d, w in hits if d == best for entry, names in self.names[w].items()])
         return out
 
 
-def winner(found: list[tuple[int, int, str]]) -> str:
-    """The entry of the least distance, if it is one entry's alone."""
+def least(found: list[Found]) -> tuple[tuple[bool, int, int], set[str]] | None:
+    """The least distance found, and the entries at it."""
     if not found:
-        return UNMATCHED
-    best = min(found)[:2]
-    entries = {e for d, fine, e in found if (d, fine) == best}
-    return entries.pop() if len(entries) == 1 else UNMATCHED
+        return None
+    best = min(found)[:3]
+    return best, {f[3] for f in found if f[:3] == best}
+
+
+def winner(found: list[Found]) -> str:
+    """The entry of the least distance, if it is one entry's alone."""
+    best = least(found)
+    return next(iter(best[1])) if best and len(best[1]) == 1 else UNMATCHED
+
+
+def searched(labels: list[str], shard: Reference) -> list[list[Found]]:
+    """Per label, what its stems find in a shard."""
+    parts = [stems(x) for x in labels]
+    flat = iter(shard.nearest([s for p in parts for s in p]))
+    return [[f for _ in p for f in next(flat)] for p in parts]
 
 
 def resolved(labels: list[str], shards: list[Reference]) -> list[str]:
     """The entry of each label, or UNMATCHED; shard winners merge."""
-    parts = [stems(x) for x in labels]
-    flat = [s for p in parts for s in p]
-    merged: list[list] = [[] for _ in flat]
-    for r in shards:
-        for m, f in zip(merged, r.nearest(flat), strict=True):
-            m += f
-    out, at = [], 0
-    for p in parts:
-        options = merged[at : at + len(p)]
-        at += len(p)
-        out.append(winner([x for o in options for x in o]))
-    return out
+    merged = zip(*(searched(labels, r) for r in shards), strict=True)
+    return [winner([f for found in by_shard for f in found]) for by_shard in merged]
 
 
-def mapped_to(df: DataFrame, label: str, names: DataFrame, out: str = "concept", shard: int = SHARD) -> DataFrame:
-    """df with `out`, the entry that `label` means. names: (entry, name) rows, in shards of bounded size."""
+def mapped_to(df: DataFrame, label: str, names: DataFrame, out: str = "concept", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """df with `out`, the entry that `label` means. names: (entry, name) rows."""
     rows = names.where("entry is not null and name is not null").distinct()
     n = rows.count()
-    spark = df.sparkSession
     df = df.drop(out)
+    if n > shard:
+        return _by_blocks(df, label, rows, out, -(-n // shard), block)
+    shipped = df.sparkSession.sparkContext.broadcast(sorted((r["entry"], r["name"]) for r in rows.collect()))  # of a size just counted
     fields = df.columns
-    shipped = []
-    for k in range(max(1, -(-n // shard))):  # one shard for lists of up to `shard` names; each shard is bounded
-        part = rows if n <= shard else rows.where(F.pmod(F.xxhash64("entry"), F.lit(-(-n // shard))) == k)
-        shipped.append(spark.sparkContext.broadcast(sorted((r["entry"], r["name"]) for r in part.collect())))
     made: dict = {}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if "shards" not in made:
-            made["shards"] = [Reference(x.value) for x in shipped]
+        if "shard" not in made:
+            made["shard"] = Reference(shipped.value)
             made["known"] = {}
         known = made["known"]
         clean, _ = one_form(b.column(fields.index(label)))
@@ -241,13 +240,38 @@ def mapped_to(df: DataFrame, label: str, names: DataFrame, out: str = "concept",
         if len(known) + len(new) > KEPT:
             known.clear()
             new = list(dict.fromkeys(t for t in texts if t))
-        known.update(zip(new, resolved(new, made["shards"]), strict=True))
+        known.update(zip(new, resolved(new, [made["shard"]]), strict=True))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array([known[t] if t else UNMATCHED for t in texts], type=pa.string())], names=[*fields, out])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{out}` string"])
     return mapped(df, run, schema)
 
 
+def _by_blocks(df: DataFrame, label: str, names: DataFrame, out: str, shards: int, block: int) -> DataFrame:
+    """mapped_to for a list of several shards: every block of distinct labels meets every shard, one pair in a task."""
+    labels = df.where(F.col(label) != "").select(F.col(label).alias("_label")).distinct()
+    blocks = max(1, -(-labels.count() // block))
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    asked = labels.select("_label", place("_label", blocks).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    held = names.select("entry", "name", place("name", shards).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    def search(asked_: pa.Table, held_: pa.Table) -> pa.Table:
+        texts = asked_.column("_label").combine_chunks()
+        if not len(texts) or not held_.num_rows:
+            return pa.table({"_label": pa.array([], pa.string()), "_d": pa.array([], pa.list_(pa.int32())), "_entries": pa.array([], pa.list_(pa.string()))})
+        clean, _ = one_form(texts)
+        shard = Reference(sorted(zip(held_.column("entry").to_pylist(), held_.column("name").to_pylist(), strict=True)))
+        found = [(t, least(f)) for t, f in zip(texts.to_pylist(), searched(clean.to_pylist(), shard), strict=True)]
+        found = [(t, x) for t, x in found if x]
+        return pa.table({"_label": pa.array([t for t, _ in found], pa.string()), "_d": pa.array([list(map(int, x[0])) for _, x in found], pa.list_(pa.int32())), "_entries": pa.array([sorted(x[1]) for _, x in found], pa.list_(pa.string()))})
+
+    hits = asked.groupBy("_b", "_s").cogroup(held.groupBy("_b", "_s")).applyInArrow(search, "_label string, _d array<int>, _entries array<string>")
+    # Per label and distance the entries unite, then the least distance wins; a label has at most a row per shard.
+    by_distance = hits.groupBy("_label", "_d").agg(F.array_distinct(F.flatten(F.collect_list("_entries"))).alias("_entries"))
+    won = by_distance.groupBy("_label").agg(F.min_by("_entries", "_d").alias("_entries")).where("size(_entries) = 1").select("_label", F.get("_entries", F.lit(0)).alias("_won"))
+    return df.join(won, F.col(label) == F.col("_label"), "left").withColumn(out, F.coalesce("_won", F.lit(UNMATCHED))).drop("_label", "_won")
+
+
 def concept_names(concepts: DataFrame) -> DataFrame:
     """(entry, name) rows of the concept list: aliases and standard names."""
     return concepts.select(F.col("concept").alias("entry"), F.explode(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("standard_name"))).alias("name"))
@@ -266,8 +290,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many facts each concept won and how many labels mean none, over all rows to be mapped."""
-    return p4_found(spark, d).groupBy("concept").agg(F.count("*").alias("facts"))
+    """Over all rows to be mapped: how many facts each concept won, and each label that means none with its facts (label is null for concepts won)."""
+    concepts = table(spark, d, "concept_definitions")
+    facts = table(spark, d, "financial_facts").select("concept", "raw_label")
+    labels = unresolved(facts, concepts).groupBy("raw_label").agg(F.count("*").alias("facts"))
+    won = mapped_to(labels, "raw_label", concept_names(concepts))
+    return won.groupBy("concept", F.when(F.col("concept") == UNMATCHED, F.col("raw_label")).alias("label")).agg(F.sum("facts").alias("facts"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}

@@ -47,7 +47,35 @@ def test_labels():
 def test_shards_agree_and_awkward_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Lai gop", None), (3, "Lai gop", None)], "seq int, raw_label string, concept string")
     names = spark.createDataFrame([*NAMES, (None, "x")], "entry string, name string")
-    for shard in (100, 3):
-        got = sorted((r.seq, r.concept) for r in c.mapped_to(df, "raw_label", names, shard=shard).collect())
+    for shard, block in ((100, 100), (3, 100), (2, 1)):
+        got = sorted((r.seq, r.concept) for r in c.mapped_to(df, "raw_label", names, shard=shard, block=block).collect())
         assert got == [(1, "UNMATCHED"), (2, "UNMATCHED"), (3, "GROSS"), (3, "GROSS")]
     assert c.mapped_to(df.where("false"), "raw_label", names).count() == 0
+
+
+def test_names_that_differ_in_accents(spark):
+    """Two entries of one skeleton: the one written as the label wins, in one shard or in many; an equal pair is a tie."""
+    names = [("SELL", "chi phí bán hàng"), ("SELL_PLAIN", "chi phi ban hang"), ("ONE", "lãi gộp"), ("TWO", "lãi gộp")]
+    want = {"chi phí bán hàng": "SELL", "chi phi ban hang": "SELL_PLAIN", "Chi phí bán hnàg": "SELL", "lãi gộp": "UNMATCHED", "khác": "UNMATCHED"}
+    assert dict(zip(want, c.resolved(list(want), [c.Reference(names)]), strict=True)) == want
+    assert dict(zip(want, c.resolved(list(want), [c.Reference([n]) for n in names]), strict=True)) == want
+    df = spark.createDataFrame([(x,) for x in want], "label string")
+    for shard in (10, 1):
+        got = c.mapped_to(df, "label", spark.createDataFrame(names, "entry string, name string"), shard=shard, block=2)
+        assert {r.label: r.concept for r in got.collect()} == want
+
+
+def test_shards_agree_on_damaged_names():
+    rng = random.Random(8)
+    names = [(f"E{k}", " ".join(rng.choice(["chi", "phí", "bán", "hàng", "tiền", "vay", "ngân", "lãi", "ròng", "gộp"]) for _ in range(rng.randint(1, 4)))) for k in range(60)]
+    labels = []
+    for _ in range(300):
+        w = list(rng.choice(names)[1])
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], "x"], ["r", "n"], ["l"]])
+            w = w or ["x"]
+        labels.append("".join(w))
+    whole = c.resolved(labels, [c.Reference(names)])
+    for n in (2, 7, 60):
+        assert c.resolved(labels, [c.Reference(names[k::n]) for k in range(n)]) == whole
