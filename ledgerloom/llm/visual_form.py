@@ -2,8 +2,8 @@
 
 A column of an Arrow batch is one flat array of code points. Look-up tables give each code point its
 replacement (compatibility forms and look-alike letters), its length (0: invisible, removed; several:
-an expansion written at computed offsets); then marks are put in canonical order and composed by
-searching base and mark pairs, all on whole arrays. Only rows with a code point that any table
+an expansion written at computed offsets); then marks are put in canonical order by one sort and composed by
+searching pairs of letter and mark, however many marks a letter has, all on whole arrays. Only rows with a code point that any table
 mentions are touched; the others pass through as they are.
 
 Greek and Cyrillic letters that look like Latin ones become Latin. Small Greek letters standing alone
@@ -51,6 +51,8 @@ class Tables:
         self.start = np.zeros(n, dtype=np.int32)
         self.ccc = np.zeros(n, dtype=np.uint8)
         self.hit = np.zeros(n, dtype=bool)
+        self.apart = np.ones(n, dtype=np.int16)
+        self.apart_start = np.zeros(n, dtype=np.int32)
         many: list[int] = []
         pairs: list[tuple[int, int, int]] = []
         for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
@@ -60,6 +62,9 @@ class Tables:
                 parts = [int(x, 16) for x in d.split()]
                 if len(parts) == 2 and unicodedata.normalize("NFC", ch) == ch:
                     pairs.append((parts[0], parts[1], c))
+                    apart = [ord(x) for x in unicodedata.normalize("NFD", ch)]
+                    self.apart[c], self.apart_start[c] = len(apart), len(many)
+                    many.extend(apart)
             self.ccc[c] = unicodedata.combining(ch)
             if ch in KEPT:
                 continue
@@ -74,14 +79,12 @@ class Tables:
         for c in INVISIBLE:
             self.set(c, [], many)
         self.hit |= self.ccc > 0
+        # What composes with the letter before it: letters with a pair, and the vowels and finals of Hangul.
+        self.second = np.zeros(n, dtype=bool)
+        self.second[[b for _, b, _ in pairs if not self.ccc[b]]] = True
+        self.second[[*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]] = True
+        self.hit |= self.second
         self.many = np.array(many or [0], dtype=np.uint32)
-        # A letter that has one mark already, followed by one of a lower class: the pair gives the letter with both.
-        marks = sorted({b for _, b, _ in pairs if 0x300 <= b < 0x370})
-        for _, _, c in [x for x in pairs if 0x300 <= x[1] < 0x370]:
-            for m in marks:
-                both = unicodedata.normalize("NFC", chr(c) + chr(m))
-                if len(both) == 1:
-                    pairs.append((c, m, ord(both)))
         keys = sorted({(a << 32) | b: c for a, b, c in pairs}.items())
         self.pair = np.array([k for k, _ in keys], dtype=np.uint64)
         self.composed = np.array([c for _, c in keys], dtype=np.uint32)
@@ -107,44 +110,72 @@ def tables() -> Tables:
     return Tables()
 
 
+def _expanded(values: np.ndarray, length: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Each value `length` times over; where that is more than once, the run of `many` that begins at `start` instead."""
+    out = np.repeat(values, length)
+    more = np.flatnonzero(length > 1)
+    if len(more):
+        n = length[more]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(np.cumsum(length)[more] - n, n) + within] = many[np.repeat(start[more], n) + within]
+    return out
+
+
+def _paired(a: np.ndarray, b: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of code points compose, and what to."""
+    key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+    at = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
+    hit, to = t.pair[at] == key, t.composed[at].copy()
+    # Hangul syllables are computed from their parts.
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    lead, vowel, final, syllable = a - 0x1100, b - 0x1161, b - 0x11A7, a - 0xAC00
+    two = (lead >= 0) & (lead < 19) & (vowel >= 0) & (vowel < 21)
+    three = (syllable >= 0) & (syllable < 11172) & (syllable % 28 == 0) & (final > 0) & (final < 28)
+    to[two] = 0xAC00 + (lead[two] * 21 + vowel[two]) * 28
+    to[three] = a[three] + final[three]
+    return hit | two | three, to
+
+
 def _composed(cps: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Marks in canonical order and composed; rows: the row of each code point."""
-    for _ in range(64):  # canonical order: neighbours are swapped until none is out of order
+    """Marks in canonical order and composed; rows: the row of each code point.
+
+    Letters before marks are taken apart; a stable sort by (letter, class) orders all marks at once. Then
+    the first mark of a class that composes with its letter does, until no letter has one.
+    """
+    k = t.ccc[cps]
+    if k.any():
+        first = np.concatenate([[True], rows[1:] != rows[:-1]])
+        length = np.where((k == 0) & np.concatenate([(k[1:] > 0) & ~first[1:], [False]]), t.apart[cps], 1).astype(np.int64)
+        cps, rows = _expanded(cps, length, t.apart_start[cps], t.many), np.repeat(rows, length)
         k = t.ccc[cps]
-        swap = (k[:-1] > k[1:]) & (k[1:] > 0) & (rows[:-1] == rows[1:])
-        if not swap.any():
-            break
-        at = np.flatnonzero(swap)
-        at = at[np.concatenate([[True], np.diff(at) > 1])]
-        cps[at], cps[at + 1] = cps[at + 1].copy(), cps[at].copy()
-    while True:
-        k = t.ccc[cps]
-        marks = np.flatnonzero(k)
-        marks = marks[marks > 0]
-        if not len(marks):
-            return cps, rows
-        found = None
-        for gap in (1, 2, 3):  # the base, or a base before marks of lower classes that did not compose
-            m = marks[marks >= gap]
-            ok = (rows[m - gap] == rows[m]) & (k[m - gap] == 0)
-            for g in range(1, gap):
-                ok &= (k[m - g] > 0) & (k[m - g] < k[m])
-            m = m[ok]
-            key = (cps[m - gap].astype(np.uint64) << np.uint64(32)) | cps[m].astype(np.uint64)
-            at = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
-            hit = t.pair[at] == key
-            if hit.any():
-                m, at = m[hit], at[hit]
-                first = np.concatenate([[True], np.diff(m - gap) > 0])
-                found = (m[first], gap, t.composed[at[first]])
+        letter = np.cumsum((k == 0) | np.concatenate([[True], rows[1:] != rows[:-1]]))
+        order = np.lexsort((k, letter))
+        cps, k = cps[order], k[order]
+        while True:
+            begins = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
+            marks = np.flatnonzero((k[1:] > k[:-1]) & (letter[1:] == letter[:-1])) + 1
+            base = begins[np.searchsorted(begins, marks, side="right") - 1]
+            hit, to = _paired(cps[base], cps[marks], t)
+            hit &= k[base] == 0
+            if not hit.any():
                 break
-        if found is None:
-            return cps, rows
-        m, gap, new = found
-        cps[m - gap] = new
+            base, at = np.unique(base[hit], return_index=True)
+            cps[base] = to[hit][at]
+            keep = np.ones(len(cps), dtype=bool)
+            keep[marks[hit][at]] = False
+            cps, rows, k, letter = cps[keep], rows[keep], k[keep], letter[keep]
+    while t.second[cps].any():  # letters that compose with the letter before them, from the left
+        at = np.flatnonzero(t.second[cps[1:]] & (rows[1:] == rows[:-1])) + 1
+        hit, to = _paired(cps[at - 1], cps[at], t)
+        at, to = at[hit], to[hit]
+        alone = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
+        if not len(at):
+            break
+        cps[at[alone] - 1] = to[alone]
         keep = np.ones(len(cps), dtype=bool)
-        keep[m] = False
+        keep[at[alone]] = False
         cps, rows = cps[keep], rows[keep]
+    return cps, rows
 
 
 def one_form(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -175,14 +206,9 @@ def one_form(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     letter = lambda x: (x < 0x3000) & t.letter[np.minimum(x, 0x2FFF)]
     stay = (t.symbol[cps] & ~letter(before) & ~letter(after)) | ((cps == 0xAD) & ((after == 0x0A) | (after == 0x0D) | ~same_after))
     length = np.where(stay, 1, t.length[cps]).astype(np.int64)
-    out = np.repeat(np.where(stay, cps, t.single[cps]), length)
+    out = _expanded(np.where(stay, cps, t.single[cps]), length, t.start[cps], t.many)
     out_rows = np.repeat(rows, length)
-    more = np.flatnonzero(length > 1)
-    if len(more):
-        ends = np.cumsum(length)
-        within = np.arange(int(length[more].sum())) - np.repeat(np.cumsum(length[more]) - length[more], length[more])
-        out[np.repeat(ends[more] - length[more], length[more]) + within] = t.many[np.repeat(t.start[cps[more]], length[more]) + within]
-    out, out_rows = _composed(out.copy(), out_rows, t)
+    out, out_rows = _composed(out, out_rows, t)
     text = out.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     size = 1 + (out >= 0x80) + (out >= 0x800) + (out >= 0x10000)
     per_row = np.bincount(out_rows, weights=size, minlength=len(touched)).astype(np.int64)[mine]
