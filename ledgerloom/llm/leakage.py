@@ -1,24 +1,29 @@
-"""Problem 9: evaluation items leaking into a corpus, by greedy string tiling with Karp-Rabin.
+"""Problem 9: evaluation items leaking into a corpus, by greedy string tiling with running Karp-Rabin.
 
 Words are runs of letters and digits, compared without case and accents. Test words get numbers;
-other words are 0. Running Karp-Rabin hashes of `least` words are taken over all words of a batch of
-documents at once and joined with the hashes of the test items (the shared-token seeds). Documents
-with a seed are tiled: the longest match of unmarked words of document and item is marked first, then
-the next, until none of `least` words is left. A tile is checked word by word, so hash collisions do
-no harm, and passages that were reordered are found as several tiles.
-
-The items are broadcast when their size is proven small, by a sum over the table; otherwise seeds
-are joined by a shuffle, on hashes alone, and each pair that shares a seed is tiled.
+other words are 0. Karp-Rabin hashes of all windows of any length come from one prefix sum, over all words
+of a batch of documents at once; those of `least` words are looked up among those of the test items
+(the shared-token seeds). Documents with a seed are tiled: the longest match of unmarked words of document
+and item, found by halving over lengths, is marked wherever it stands, then the next, until none of `least`
+words is left. A tile is checked word by word, so hash collisions do no harm. Passages that were reordered
+are found as several tiles; the share of the item in tiles is its coverage, and items below a threshold of
+coverage are left out.
+
+The items are broadcast when their size is proven small, by a sum over the table. Otherwise a bitmap of
+fixed size tells the windows of documents that may be an item's; only their hashes are shuffled and joined
+with those of the items, and the texts of pairs that share one are tiled.
 """
 
 from __future__ import annotations
 
-import regex
+import functools
 import unicodedata
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,67 +31,134 @@ from ledgerloom.llm.arrow import mapped
 from ledgerloom.tables import table
 
 LEAST = 12
+#: Reordered passages: the least words of a tile, and the least share of an item in tiles.
+LEAST_REORDERED = 6
+LEAST_COVERAGE = 0.5
 #: Items are broadcast up to this many characters in all.
 BROADCAST_CHARS = 20_000_000
-_word = regex.compile(r"[\p{L}\p{Nd}]+")
+#: Bits of the bitmap of item windows, for items beyond that; 16 MB whatever the data.
+BITS = 1 << 27
+#: Words kept with their number per worker, at most.
+KEPT = 1_000_000
+_word = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _marks = regex.compile(r"\p{M}+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+# An odd number and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def folded(word: str) -> str:
+    """A word in lower case, without accents, the barred d as d."""
+    if not word.isascii():
+        word = _marks.sub("", unicodedata.normalize("NFD", word)).replace("đ", "d").replace("Đ", "d")
+    return word.casefold()
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text: lower case, without accents, the barred d as d."""
-    if not text:
-        return []
-    if not text.isascii():
-        text = _marks.sub("", unicodedata.normalize("NFD", text)).replace("đ", "d").replace("Đ", "d")
-    return _word.findall(text.casefold())
-
-
-def rolling(numbers: np.ndarray, least: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of `least` numbers."""
-    n = len(numbers) - least + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(least):
-        h = h * _BASE + numbers[k : k + n]
-    return h
-
-
-def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
+    """The words of a text, folded."""
+    return [w for w in map(folded, _word.findall(text)) if w] if text else []
+
+
+class Numbers(dict):
+    """Numbers of words as they are written: a number by the folded word, -1 when nothing is left of it."""
+
+    def __init__(self, number) -> None:
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        w = folded(word)
+        n = self.number(w) if w else -1
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = n
+        return n
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, one after the other, and where each text's begin."""
+        flat: list[int] = []
+        bounds = [0]
+        for t in texts:
+            if t:
+                flat += [n for n in map(self.__getitem__, _word.findall(t)) if n >= 0]
+            bounds.append(len(flat))
+        return np.array(flat, dtype=np.uint64), np.array(bounds)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.ones((2, n + 1), dtype=np.uint64)
+    out[:, 1:] = np.array([[_BASE], [_INVERSE]], dtype=np.uint64)
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+class Windows:
+    """Karp-Rabin hashes of the windows of a sequence of numbers, of any length, from one prefix sum."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        size = 1 << max(4, int(len(numbers)).bit_length())
+        self.up, down = (p[: len(numbers) + 1] for p in _powers(size))
+        x = numbers ^ (numbers >> np.uint64(31))
+        x = (x + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        self.sums = np.zeros(len(numbers) + 1, dtype=np.uint64)
+        np.cumsum((x ^ (x >> np.uint64(32))) * down[:-1], out=self.sums[1:])
+
+    def hashes(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        return (self.sums[length:] - self.sums[:n]) * self.up[:n] if n > 0 else np.empty(0, np.uint64)
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in a, place in b, length), longest first, without overlap, of `least` words or more.
 
-    Each round takes the maximal matches between unmarked words that grow from seeds of `least` words
-    and marks the longest, ties by place. Exact: matches are compared word by word.
+    a, b: numbers of words. In each round the longest common run of unmarked words is found by halving (if
+    windows of a length match, shorter ones do), and all its matches are marked, from the left. A place
+    of b whose words are taken is never looked at again, so a round is linear however often words repeat.
     """
-    seeds = defaultdict(list)
-    for j in range(len(b) - least + 1):
-        seeds[tuple(b[j : j + least])].append(j)
-    starts = [(i, j) for i in range(len(a) - least + 1) for j in seeds.get(tuple(a[i : i + least]), ())]
-    used_a, used_b = [False] * len(a), [False] * len(b)
-    out = []
-    while starts:
-        known = set(starts)
-        matches, alive = [], []
-        for i, j in starts:
-            if any(used_a[i : i + least]) or any(used_b[j : j + least]):
-                continue
-            alive.append((i, j))
-            if (i - 1, j - 1) in known and not used_a[i - 1] and not used_b[j - 1] and i and j:
-                continue  # grows from an earlier start
-            k = least
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                k += 1
-            matches.append((-k, i, j))
-        if not matches:
+    wa, wb = Windows(a), Windows(b)
+    free_a, free_b = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool)
+    out: list[tuple[int, int, int]] = []
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of a and of b, with their hashes, whose unmarked windows of a length are in both."""
+        sides = []
+        for w, free in ((wa, free_a), (wb, free_b)):
+            taken = np.concatenate([[0], np.cumsum(~free)])
+            at = np.flatnonzero(taken[length:] == taken[: len(taken) - length]) if len(free) >= length else np.empty(0, np.int64)
+            sides.append((at, w.hashes(length)[at]))
+        (pa_, ha), (pb, hb) = sides
+        ina, inb = np.isin(ha, hb), np.isin(hb, ha)
+        return pa_[ina], ha[ina], pb[inb], hb[inb]
+
+    longest = min(len(a), len(b))
+    while longest >= least:
+        low, high = least - 1, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
             break
-        longest = min(matches)[0]
-        for k, i, j in sorted(m for m in matches if m[0] == longest):
-            if not any(used_a[i : i - k]) and not any(used_b[j : j - k]):
-                used_a[i : i - k] = [True] * -k
-                used_b[j : j - k] = [True] * -k
-                out.append((i, j, -k))
-        starts = alive
+        at_a, ha, at_b, hb = common(low)
+        places = defaultdict(list)
+        for j, h in zip(at_b[::-1].tolist(), hb[::-1].tolist(), strict=True):
+            places[h].append(j)
+        marked = False
+        next_a = 0
+        for i, h in zip(at_a.tolist(), ha.tolist(), strict=True):
+            if i < next_a:
+                continue
+            rest = places[h]
+            while rest and not free_b[rest[-1] : rest[-1] + low].all():
+                rest.pop()
+            j = next((j for j in reversed(rest) if free_b[j : j + low].all() and np.array_equal(a[i : i + low], b[j : j + low])), None)
+            if j is not None:
+                free_a[i : i + low] = free_b[j : j + low] = False
+                out.append((i, j, low))
+                next_a, marked = i + low, True
+        longest = low if marked else low - 1
     return out
 
 
@@ -95,42 +167,38 @@ class Items:
 
     def __init__(self, rows: list[tuple], least: int) -> None:
         self.least = least
-        self.words = {i: words(t) for i, t in rows}
-        names = sorted({w for x in self.words.values() for w in x})
-        self.number = {w: k + 1 for k, w in enumerate(names)}
+        by_item = {i: words(t) for i, t in rows}
+        known = {w: k + 1 for k, w in enumerate(sorted({w for x in by_item.values() for w in x}))}
+        self.numbers = Numbers(lambda w: known.get(w, 0))
+        self.words = {i: np.array([known[w] for w in x], dtype=np.uint64) for i, x in by_item.items()}
         owners = defaultdict(set)
         for i, x in self.words.items():
-            for h in rolling(np.array([self.number[w] for w in x], dtype=np.uint64), least).tolist():
+            for h in Windows(x).hashes(least).tolist():
                 owners[h].add(i)
         self.owners = {h: sorted(v) for h, v in owners.items()}
         self.hashes = np.array(sorted(owners), dtype=np.uint64)
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Per text, (item, tiles) of each item that shares a tile."""
-        number, least = self.number.get, self.least
-        flat: list[int] = []
-        bounds = [0]
-        for t in texts:
-            flat += [number(w, 0) for w in words(t)]
-            bounds.append(len(flat))
-        n = np.array(flat, dtype=np.uint64)
+        """Per text, (item, tiles, words of the item) of each item that shares a tile."""
+        least = self.least
+        n, bounds = self.numbers.of(texts)
         out: list[list[tuple]] = [[] for _ in texts]
-        h = rolling(n, least)
+        h = Windows(n).hashes(least)
         if not len(h) or not len(self.hashes):
             return out
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hits = np.flatnonzero(self.hashes[at] == h)
-        if not len(hits):
-            return out
-        row = np.searchsorted(np.array(bounds), hits, side="right") - 1
-        inside = hits + least <= np.array(bounds)[row + 1]
+        # A window with a word that no item has cannot match; the others are looked up.
+        strange = np.concatenate([[0], np.cumsum(n == 0)])
+        at = np.flatnonzero(strange[least:] == strange[:-least])
+        at = at[self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]]
+        row = np.searchsorted(bounds, at, side="right") - 1
+        inside = at + least <= bounds[row + 1]
         candidates = defaultdict(set)
-        for r, x in zip(row[inside].tolist(), h[hits[inside]].tolist(), strict=True):
+        for r, x in zip(row[inside].tolist(), h[at[inside]].tolist(), strict=True):
             candidates[r].update(self.owners[x])
         for r, items in candidates.items():
-            mine = flat[bounds[r] : bounds[r + 1]]
+            mine = n[bounds[r] : bounds[r + 1]]
             for i in sorted(items):
-                if found := tiles(mine, [self.number[w] for w in self.words[i]], least):
+                if found := tiles(mine, self.words[i], least):
                     out[r].append((i, found, len(self.words[i])))
         return out
 
@@ -172,38 +240,47 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, least_coverage:
 
     def tile(b: pa.RecordBatch) -> pa.RecordBatch | None:
         found = []
-        for i, text, item in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x = tiles(words(text), (w := words(item)), least)
-            found.append([(i, x, len(w))] if x else [])
+        known: dict = {}
+        numbers = Numbers(lambda w: known.setdefault(w, len(known) + 1))
+        for i, text, item in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            x, y = (numbers.of([t])[0] for t in (text, item))
+            found.append([(i, t, len(y))] if (t := tiles(x, y, least)) else [])
         return rows(b.column(0).to_pylist(), found)
 
     return mapped(pairs, tile, schema)
 
 
 def _seed_pairs(docs: DataFrame, items: DataFrame, least: int, doc_kind: str, item_kind: str) -> DataFrame:
-    """(doc_id, item_id, text, item_text) of pairs that share a seed, by a shuffle on distinct hashes."""
-
-    def seeds(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hashes = [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = words(t)
-            for h in {hash_words(w[k : k + least]) for k in range(len(w) - least + 1)}:
-                ids.append(i)
-                hashes.append(h)
-        return pa.RecordBatch.from_arrays([pa.array(ids, type=b.column(0).type), pa.array(hashes, type=pa.int64())], names=["id", "h"])
-
-    numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    of_items = mapped(items.select("item_id", "text"), seeds, f"id {item_kind}, h bigint").withColumnRenamed("id", "item_id")
-    of_docs = mapped(docs.select(F.col("doc_id"), "text").distinct(), seeds, f"id {doc_kind}, h bigint").withColumnRenamed("id", "doc_id")
+    """(doc_id, item_id, text, item_text) of pairs that share a seed. What is shuffled before texts are fetched are hashes that the bitmap lets through."""
+
+    def seeds(bitmap):
+        numbers = Numbers(lambda w: xxhash.xxh64_intdigest(w) >> 1)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            n, bounds = numbers.of(b.column(1).to_pylist())
+            h = Windows(n).hashes(least)
+            at = np.arange(len(h))
+            if bitmap is not None and len(h):
+                slot = h % np.uint64(BITS)
+                at = np.flatnonzero((bitmap.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+            row = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + least <= bounds[row + 1]
+            both = np.unique(np.stack([row[inside].astype(np.uint64), h[at[inside]]]), axis=1)
+            ids = b.column(0).take(pa.array(both[0].astype(np.int64)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(both[1].view(np.int64))], names=["id", "h"]) if len(ids) else None
+
+        return run
+
+    of_items = mapped(items.select("item_id", "text"), seeds(None), f"id {item_kind}, h bigint").withColumnRenamed("id", "item_id")
+    slot = F.pmod("h", F.lit(BITS))
+    bits = of_items.select((slot / 64).cast("bigint").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(BITS // 64, dtype=np.uint64)
+    got = bits.toArrow()  # a row per word of the bitmap, at most
+    bitmap[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+    of_docs = mapped(docs.select("doc_id", "text"), seeds(shipped), f"id {doc_kind}, h bigint").withColumnRenamed("id", "doc_id").distinct()
     pairs = of_docs.join(of_items, "h").select("doc_id", "item_id").distinct()
-    return pairs.join(numbered, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
-
-
-def hash_words(w: list[str]) -> int:
-    """A hash of words that is the same in every process."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest("\x1f".join(w)) - (1 << 63)
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -211,8 +288,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked items with their tiles and coverage."""
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Items of which a document holds at least half in tiles of 6 words or more, in whatever order, with their tiles and coverage."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), least=LEAST_REORDERED, least_coverage=LEAST_COVERAGE)
 
 
 QUERIES = {"p9_found": p9_found, "p9_coverage": p9_coverage}
