@@ -171,15 +171,34 @@ class Items:
         known = {w: k + 1 for k, w in enumerate(sorted({w for x in by_item.values() for w in x}))}
         self.numbers = Numbers(lambda w: known.get(w, 0))
         self.words = {i: np.array([known[w] for w in x], dtype=np.uint64) for i, x in by_item.items()}
-        owners = defaultdict(set)
+        owners: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         for i, x in self.words.items():
-            for h in Windows(x).hashes(least).tolist():
-                owners[h].add(i)
-        self.owners = {h: sorted(v) for h, v in owners.items()}
+            for j, h in enumerate(Windows(x).hashes(least).tolist()):
+                owners[h][i].append(j)
+        self.owners = {h: sorted(v.items()) for h, v in owners.items()}
         self.hashes = np.array(sorted(owners), dtype=np.uint64)
 
-    def search(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Per text, (item, tiles, words of the item) of each item that shares a tile."""
+    def apart(self, mine: np.ndarray, item: object, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]] | None:
+        """The tiles of seeds (place in the document less place in the item, place in the document), if no two of them touch the same words; else None."""
+        seeds.sort()
+        runs: list[list[int]] = []
+        for diagonal, i in seeds:
+            if runs and runs[-1][0] == diagonal and runs[-1][2] == i:
+                runs[-1][2] = i + 1
+            else:
+                runs.append([diagonal, i, i + 1])
+        words = self.words[item]
+        out = [(a, a - d, b - a + self.least - 1) for d, a, b in runs]
+        for side in (0, 1):
+            ends = sorted((t[side], t[side] + t[2]) for t in out)
+            if any(x[1] > y[0] for x, y in zip(ends, ends[1:], strict=False)):
+                return None
+        if not all(np.array_equal(mine[i : i + k], words[j : j + k]) for i, j, k in out):
+            return None
+        return sorted(out, key=lambda t: (-t[2], t[0], t[1]))
+
+    def search(self, texts: list[str | None], least_coverage: float = 0.0) -> list[list[tuple]]:
+        """Per text, (item, tiles, words of the item) of each item that shares a tile, unless its seeds cannot reach the coverage."""
         least = self.least
         n, bounds = self.numbers.of(texts)
         out: list[list[tuple]] = [[] for _ in texts]
@@ -192,14 +211,29 @@ class Items:
         at = at[self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]]
         row = np.searchsorted(bounds, at, side="right") - 1
         inside = at + least <= bounds[row + 1]
-        candidates = defaultdict(set)
-        for r, x in zip(row[inside].tolist(), h[at[inside]].tolist(), strict=True):
-            candidates[r].update(self.owners[x])
-        for r, items in candidates.items():
-            mine = n[bounds[r] : bounds[r + 1]]
-            for i in sorted(items):
-                if found := tiles(mine, self.words[i], least):
-                    out[r].append((i, found, len(self.words[i])))
+        seeds: dict[tuple, list | None] = defaultdict(list)
+        for r, place, x in zip(row[inside].tolist(), (at[inside] - bounds[row[inside]]).tolist(), h[at[inside]].tolist(), strict=True):
+            for item, places in self.owners[x]:
+                known = seeds[r, item]
+                if known is not None:
+                    if len(known) + len(places) > 4 * len(self.words[item]):
+                        seeds[r, item] = None  # words that repeat
+                    else:
+                        known += [(place - j, place) for j in places]
+        for (r, item), pairs in sorted(seeds.items()):
+            mine, words = n[bounds[r] : bounds[r + 1]], self.words[item]
+            if pairs is not None and least_coverage:
+                reached = np.zeros(len(words) + 1, dtype=np.int64)
+                for d, i in pairs:
+                    reached[i - d] += 1
+                    reached[i - d + least] -= 1
+                if np.count_nonzero(np.cumsum(reached)) < least_coverage * len(words):
+                    continue
+            found = self.apart(mine, item, pairs) if pairs is not None else None
+            if found is None:
+                found = tiles(mine, words, least)
+            if found:
+                out[r].append((item, found, len(words)))
         return out
 
 
@@ -232,7 +266,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, least_coverage:
         def search(b: pa.RecordBatch) -> pa.RecordBatch | None:
             if "items" not in made:
                 made["items"] = Items(shipped.value, least)
-            return rows(b.column(0).to_pylist(), made["items"].search(b.column(1).to_pylist()))
+            return rows(b.column(0).to_pylist(), made["items"].search(b.column(1).to_pylist(), least_coverage))
 
         return mapped(docs.select("doc_id", "text"), search, schema)
 

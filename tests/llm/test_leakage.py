@@ -98,5 +98,17 @@ def test_reordered_passages_reach_the_coverage(spark):
     assert l.leaks(docs, items).count() == 0
 
 
+def test_search_equals_tiling_of_every_pair():
+    rng = random.Random(6)
+    for size in (3, 12, 200):
+        say = lambda n: " ".join(f"w{rng.randrange(size)}" for _ in range(n))  # noqa: E731, B023
+        items = [(k, say(rng.randint(0, 30))) for k in range(12)]
+        docs = [say(rng.randint(0, 30)) + " " + " ".join(rng.choice(items)[1].split()[rng.randint(0, 9) :]) for _ in range(40)]
+        got = l.Items(items, 5).search(docs)
+        for d, found in zip(docs, got, strict=True):
+            pairs = [(i, l.tiles(*numbers(d, t), 5), len(t.split())) for i, t in items]
+            assert found == [p for p in pairs if p[1]]
+
+
 def test_words():
     assert l.words("Đồng-tiền: e\u0301te\u0301 ÉTÉ x\u0302 \u0301 12a ß") == ["dong", "tien", "ete", "ete", "x", "12a", "ss"]
