@@ -5,9 +5,11 @@ prefix read so far ends in token t. Arcs carry tokens, and an arc from t to u ex
 takes u's first part away from it: the gadget of merge (x, y) cuts the arc between a token exposing x
 on its right spine and one exposing y on its left spine, unless an earlier merge has bound one of the
 two. Adding the gadgets of all merges in order leaves exactly one accepted path per word, and its arc
-labels are the BPE tokens. The gadgets that concern one arc lie on the two spines, so an arc is
-compiled when a word first asks for it, and kept in the table; words, too, are compiled once into
-their path. Decoding joins the bytes of the arc labels.
+labels are the BPE tokens. The states and their spines are written out; the arcs are not, as nearly every
+pair of tokens has one (figures in the README). The gadgets that concern one arc lie on the two spines,
+so an arc is compiled when a word first asks for it, and kept in the table of transitions. Distinct words
+are compiled once into their path; texts are then a gather from the table of paths, a batch at a time.
+Decoding joins the bytes of the arc labels.
 
 Null and empty texts give an empty list; blank texts are encoded as they are. The vocabulary file is
 read on the driver (1.5 MB, fixed) and broadcast, so executors need no copy of it.
@@ -31,6 +33,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZERS = "/opt/tokenizers"
 #: Words kept compiled per Python worker, at most; beyond it the table is emptied and fills again.
 WORDS_KEPT = 300_000
+#: Later than every merge.
+NEVER = 1 << 60
 
 
 def printable_bytes() -> dict[str, int]:
@@ -63,9 +67,20 @@ class Automaton:
                 self.bytes_of[z] = self.bytes_of[x] + self.bytes_of[y]
         self.id_of = {v: k for k, v in self.bytes_of.items()}
         self.longest = max(map(len, self.id_of))
+        # Spines, innermost part first, with the merge that binds each part into the next.
+        self.right = [self._spine(t, 1) for t in range(len(ids))]
+        self.left = [self._spine(t, 0) for t in range(len(ids))]
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.paths: dict[str, list[int]] = {}
         self.split = regex.compile(SPLIT)
+        self.table = Paths(self)
+
+    def _spine(self, t: int, side: int) -> list[tuple[int, int]]:
+        out, bound = [], NEVER
+        while True:
+            out.append((t, bound))
+            if t not in self.parts:
+                return out[::-1]
+            bound, t = self.order[t], self.parts[t][side]
 
     def arc(self, t: int, u: int) -> bool:
         """Whether the arc labelled u leaves state t once the gadgets of all merges are in."""
@@ -75,29 +90,28 @@ class Automaton:
         return known
 
     def _gadgets(self, t: int, u: int) -> bool:
-        # The spines, from the bytes that meet at the border up to the whole tokens; at step k of the
-        # merge order, the exposed part of each side is the largest one that is built by then.
-        right = [t]
-        while right[-1] in self.parts:
-            right.append(self.parts[right[-1]][1])
-        left = [u]
-        while left[-1] in self.parts:
-            left.append(self.parts[left[-1]][0])
-        i, j = len(right) - 1, len(left) - 1
+        return self._cut(t, u) is None
+
+    def _cut(self, t: int, u: int) -> tuple[int, bool] | None:
+        """The rank of the first merge whose gadget cuts the arc from t to u, and whether it binds the two whole; None if none does.
+
+        At step k of the merge order, the exposed part of each side is the largest one that is built by
+        then. Of merges that want the same part, the one of the lower rank comes first; on a tie the
+        occurrence further left wins: within t before the border, the border before within u.
+        """
+        right, left = self.right[t], self.left[u]
+        i = j = 0
         while True:
-            next_right = self.order[right[i - 1]] if i else 1 << 60
-            next_left = self.order[left[j - 1]] if j else 1 << 60
-            k = self.rank.get((right[i], left[j]))
-            # Of merges that want the same part, the one of the lower rank comes first. On a tie the
-            # occurrence further left wins: within t before the border, the border before within u.
+            (x, next_right), (y, next_left) = right[i], left[j]
+            k = self.rank.get((x, y))
             if k is not None and k < next_right and k <= next_left:
-                return False
-            if next_right == next_left == 1 << 60:
-                return True
+                return k, i == len(right) - 1 and j == len(left) - 1
+            if next_right == next_left == NEVER:
+                return None
             if next_right <= next_left:
-                i -= 1
+                i += 1
             else:
-                j -= 1
+                j += 1
 
     def path(self, word: str) -> list[int]:
         """The arc labels of the one accepted path of a word."""
@@ -138,49 +152,64 @@ class Automaton:
             known = t not in self.parts
             if not known:
                 x, y = self.parts[t]
-                known = self._is_path_of_itself(x) and self._is_path_of_itself(y) and self._first_cut(x, y) == self.order[t]
+                known = self._is_path_of_itself(x) and self._is_path_of_itself(y) and self._cut(x, y) == (self.order[t], True)
             self.arcs[t, -1] = known
         return known
 
-    def _first_cut(self, x: int, y: int) -> int | None:
-        """The rank of the merge whose gadget cuts the arc from x to y, if any."""
-        right, left = [x], [y]
-        while right[-1] in self.parts:
-            right.append(self.parts[right[-1]][1])
-        while left[-1] in self.parts:
-            left.append(self.parts[left[-1]][0])
-        i, j = len(right) - 1, len(left) - 1
-        while True:
-            next_right = self.order[right[i - 1]] if i else 1 << 60
-            next_left = self.order[left[j - 1]] if j else 1 << 60
-            k = self.rank.get((right[i], left[j]))
-            if k is not None and k < next_right and k <= next_left:
-                return k if i == j == 0 else None
-            if next_right == next_left == 1 << 60:
-                return None
-            if next_right <= next_left:
-                i -= 1
-            else:
-                j -= 1
-
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        paths = self.paths
-        for word in self.split.findall(text):
-            p = paths.get(word)
-            if p is None:
-                if len(paths) >= WORDS_KEPT:
-                    paths.clear()
-                p = paths[word] = self.path(word)
-            out += p
-        return out
+        return self.batch([text])[0].tolist()
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        words: list[int] = []
+        bounds = [0]
+        number, split = self.table.__getitem__, self.split.findall
+        self.table.room()
+        for text in texts:
+            if text:
+                words += map(number, split(text))
+            bounds.append(len(words))
+        return self.table.gather(np.array(words, dtype=np.int64), np.array(bounds))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")
 
 
+class Paths(dict):
+    """Numbers of words, and the table of their paths: arc labels one after the other, and where each word's begin."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        super().__init__()
+        self.automaton = automaton
+        self.labels = np.empty(1 << 16, dtype=np.int32)
+        self.begins = np.zeros(1 << 14, dtype=np.int64)
+
+    def room(self) -> None:
+        """Empties the table when it is full; never within a batch, so numbers hold there."""
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+
+    def __missing__(self, word: str) -> int:
+        path, n = self.automaton.path(word), len(self)
+        at = self.begins[n]
+        while at + len(path) > len(self.labels):
+            self.labels = np.concatenate([self.labels, np.empty_like(self.labels)])
+        if n + 2 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        self.labels[at : at + len(path)] = path
+        self.begins[n + 1] = at + len(path)
+        self[word] = n
+        return n
+
+    def gather(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The labels of a run of words, and how many lie between bounds."""
+        begin = self.begins[words]
+        length = self.begins[words + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(length)])
+        labels = self.labels[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
+        return labels, np.diff(ends[bounds])
+
+
 _made: dict[int, Automaton] = {}
 
 
@@ -200,13 +229,8 @@ def encoded(df: DataFrame, key: str, column: str, out: str = "ids", folder: str
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         a = automaton(shipped.value)
-        lengths, flat = [], []
-        for text in b.column(1).to_pylist():
-            ids = a.encode(text)
-            lengths.append(len(ids))
-            flat.append(np.array(ids, dtype=np.int32))
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        return pa.RecordBatch.from_arrays([b.column(0), lists(values, np.array(lengths), pa.int32())], names=[key, out])
+        values, lengths = a.batch(b.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([b.column(0), lists(values, lengths, pa.int32())], names=[key, out])
 
     return mapped(df.select(key, column), run, f"{key} {kind}, {out} array<int>")
 
