@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import mapped
@@ -34,37 +34,35 @@ from ledgerloom.tables import table
 # Languages by family.
 FAMILIES = {"austroasiatic": ["vi"], "germanic": ["en", "de"], "romance": ["fr"]}
 LANGUAGES = [x for f in FAMILIES.values() for x in f]
-# Spellings of labels, folded to lower case and the part before a region.
+# Spellings of labels, in lower case; those of one word also before a region or a bracket.
 LABELS = {
-    "vi": "vi vie vietnamese viet vietnamien vietnamesisch",
-    "en": "en eng english anglais englisch",
-    "fr": "fr fra fre french français francais französisch",
-    "de": "de deu ger german deutsch allemand",
+    "vi": ["vi", "vie", "vietnamese", "viet", "vietnamien", "vietnamesisch", "tiếng việt", "tieng viet"],
+    "en": ["en", "eng", "english", "anglais", "englisch", "tiếng anh", "tieng anh"],
+    "fr": ["fr", "fra", "fre", "french", "français", "francais", "französisch", "tiếng pháp", "tieng phap"],
+    "de": ["de", "deu", "ger", "german", "deutsch", "allemand", "tiếng đức", "tieng duc"],
 }
-NAMED = {"tiếng việt": "vi", "tieng viet": "vi", "tiếng anh": "en", "tieng anh": "en", "tiếng pháp": "fr", "tieng phap": "fr", "tiếng đức": "de", "tieng duc": "de"}
 # Words with a full stop that end no sentence.
 ABBREVIATIONS = "mio mrd nr ca bzw vgl bzgl inkl exkl etc no inc co ltd corp st mr mrs dr prof m mme tp tr ths ts vd z.b d.h u.a e.g i.e approx fig p pp art"
 DIMENSIONS = 1 << 15
+#: Training takes at most so many documents, of so many characters, and so many sentences a language.
 SAMPLE = 4000
+SAMPLE_LENGTHS = (40, 20_000)
 SENTENCES_PER_LANGUAGE = 3000
+#: The least words of a sentence that decides; a whole sentence decides from fewer words on, with a larger margin.
+LEAST_WORDS, LEAST_MARGIN = 4, 0.35
+LEAST_WHOLE_WORDS, LEAST_WHOLE_MARGIN = 2, 0.7
 _word = regex.compile(r"[\p{L}\p{M}]+")
 _end = regex.compile(r"(?<=[.!?…][\"”’)\]]*)\s+(?=[\"“‘(\[]*[\p{Lu}\p{N}\-–])|\s*\n[ \t\r]*\n\s*")
 _whole = regex.compile(r"[\p{Lu}“\"«(].*[.!?…][\"”»)]*$", regex.S)
 _abbreviation = regex.compile(rf"(?:^|[\s(])(?:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS.split())})\.$", regex.I)
 
 
-def canonical(label: str | None) -> str | None:
-    """The language a label names, whatever its spelling; None for placeholders and other languages."""
-    if label is None:
-        return None
-    x = unicodedata.normalize("NFC", label).strip().lower()
-    if x in NAMED:
-        return NAMED[x]
-    head = regex.split(r"[-_\s(]", x)[0]
-    for lang, known in LABELS.items():
-        if head in known.split():
-            return lang
-    return None
+def canonical(label: Column) -> Column:
+    """The language a label names, whatever its spelling; null for placeholders and other languages."""
+    spelled = {unicodedata.normalize(form, x): lang for lang, many in LABELS.items() for x in many for form in ("NFC", "NFD")}
+    known = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    x = F.lower(F.regexp_replace(label, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    return F.coalesce(known[x], known[F.regexp_extract(x, r"^[^-_\s\u00a0(]*", 0)])
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -186,15 +184,14 @@ def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int = 6, decay: float = 3e-
     return total / rounds, total_bias / rounds
 
 
-def _vector(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a sentence as scoring sums them."""
-    ids, values = [], []
+def _vector(tokens: list[str], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a sentence as scoring sums them; known: those of words met before."""
     for t in tokens:
-        x = features(unicodedata.normalize("NFC", t))
-        ids += x
-        values += [1 / math.sqrt(len(x))] * len(x)
-    i, inverse = np.unique(np.array(ids), return_inverse=True)
-    return i, np.bincount(inverse, weights=np.array(values)) / math.sqrt(len(tokens))
+        if t not in known:
+            known[t] = np.array(features(unicodedata.normalize("NFC", t)))
+    ids = [known[t] for t in tokens]
+    i, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+    return i, np.bincount(inverse, weights=np.repeat([1 / math.sqrt(len(x)) for x in ids], [len(x) for x in ids])) / math.sqrt(len(tokens))
 
 
 def fit(rows: list[tuple[str, str]], per_language: int = SENTENCES_PER_LANGUAGE) -> Machines:
@@ -211,10 +208,13 @@ def fit(rows: list[tuple[str, str]], per_language: int = SENTENCES_PER_LANGUAGE)
     data = [(t, x) for x, many in by.items() for t in many]
     pairs = [*itertools.combinations(FAMILIES, 2), *(p for f in FAMILIES.values() for p in itertools.combinations(f, 2))]
     members = FAMILIES | {x: [x] for x in LANGUAGES}
-    kept = data
+    kept = list(range(len(data)))
+    known: dict[str, np.ndarray] = {}
+    vector = [_vector(t, known) for t, _ in data]
+    bare = {k: _vector([stripped(w) for w in t], known) for k, (t, x) in enumerate(data) if x == "vi"}
     for _ in range(2):
-        both = kept + [([stripped(w) for w in t], x) for t, x in kept if x == "vi"]
-        vectors = [_vector(t) for t, _ in both]
+        both = [(vector[k], data[k][1]) for k in kept] + [(bare[k], "vi") for k in kept if k in bare]
+        vectors = [v for v, _ in both]
         weights, bias = [], []
         for a, b in pairs:
             side = np.array([1 if x in members[a] else -1 if x in members[b] else 0 for _, x in both])
@@ -228,28 +228,25 @@ def fit(rows: list[tuple[str, str]], per_language: int = SENTENCES_PER_LANGUAGE)
             bias.append(c)
         m = Machines(np.stack(weights, axis=1), np.array(bias), pairs)
         said, margin = m.decide([t for t, _ in data])
-        kept = [(t, x) for (t, x), s, g in zip(data, said, margin, strict=True) if s == x or g < 0.2]
+        kept = [k for k, ((_, x), s, g) in enumerate(zip(data, said, margin, strict=True)) if s == x or g < 0.2]
     return m
 
 
 def training_rows(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     """(text, language) of `sample` labelled documents, the lowest by a hash of the key; at most so many, whatever the table's size."""
-    known = F.udf(lambda label: canonical(label), "string")
-    labels = docs.select("lang").where("lang is not null").distinct()
-    # Distinct labels are few but unbounded in principle: the mapping is made on executors and joined.
-    labels = labels.withColumn("_known", known("lang")).where("_known is not null")
-    usable = docs.where("length(text) between 40 and 20000").join(labels, "lang")
-    # Keys are taken by their hash up to a share of all labelled rows that gives a little over `sample`, so that is all that travels.
-    n = usable.select("doc_id").count()
+    known = canonical(F.col("lang"))
+    n = docs.agg(F.count(known)).first()[0]
     if not n:
         return []
+    # Keys are taken by their hash up to a share of all labelled rows that gives a little over `sample`, so that is all that travels.
     share = min(1.0, 1.3 * sample / n + 50 / n)
-    near = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(sample).select("text", "_known")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = docs.where(place < int(share * (1 << 30))).where(F.length("text").between(*SAMPLE_LENGTHS)).select("doc_id", "text", known.alias("_known")).where("_known is not null")
+    rows = near.orderBy(place, "doc_id").limit(sample).select("text", "_known")
     return [(r[0], r[1]) for r in rows.collect()]
 
 
-def analysed(machines: Machines, texts: list[str | None], least_margin: float = 0.35) -> list[list[tuple[str, int, int, float]]]:
+def analysed(machines: Machines, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
     """Per text, its segments: (language, begin, end, confidence)."""
     spans, batches, bounds = [], [], [0]
     for t in texts:
@@ -262,9 +259,10 @@ def analysed(machines: Machines, texts: list[str | None], least_margin: float =
     out = []
     for r, t in enumerate(texts):
         rows = range(bounds[r], bounds[r + 1])
-        sure = [k for k in rows if len(batches[k]) >= 4 and margin[k] >= least_margin]
         # Whole sentences decide; pieces of sentences only where there are no whole ones.
-        sure = [k for k in sure if _whole.match(t[spans[k][0] : spans[k][1]])] or sure
+        clear = [k for k in rows if margin[k] >= LEAST_MARGIN and len(batches[k]) >= LEAST_WHOLE_WORDS]
+        sure = [k for k in clear if (len(batches[k]) >= LEAST_WORDS or margin[k] >= LEAST_WHOLE_MARGIN) and _whole.match(t[spans[k][0] : spans[k][1]])]
+        sure = sure or [k for k in clear if len(batches[k]) >= LEAST_WORDS]
         if not rows:
             out.append([])
             continue
@@ -305,12 +303,12 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         if "m" not in made:
             w, bias, sides = shipped.value
             made["m"] = Machines(w.astype(np.float64), bias, sides)
-        segments = analysed(made["m"], b.column(2).to_pylist())
+        segments = analysed(made["m"], b.column(3).to_pylist())
         rows = [[{"lang": x, "begin": a, "end": e, "confidence": c} for x, a, e, c in s] for s in segments]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([canonical(x) for x in b.column(1).to_pylist()], type=pa.string()), pa.array(rows, type=kind)], names=["doc_id", "lang", "named", "segments"])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, type=kind)], names=["doc_id", "lang", "named", "segments"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "lang", "text"), run, f"doc_id {key}, lang string, named string, segments {SEGMENTS}")
+    return mapped(docs.select("doc_id", "lang", canonical(F.col("lang")).alias("named"), "text"), run, f"doc_id {key}, lang string, named string, segments {SEGMENTS}")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

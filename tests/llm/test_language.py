@@ -47,8 +47,21 @@ def test_unaccented_vietnamese(machines):
     assert x[0][0] == "vi"
 
 
-def test_labels_and_sentences():
-    assert [l.canonical(x) for x in ("VI", "vie", "tiếng Việt", "en_GB", "English", "fr-FR", "deu", "", None, "und", "xx", "es")] == ["vi", "vi", "vi", "en", "en", "fr", "de", None, None, None, None, None]
+def test_labels(spark):
+    cases = {"VI": "vi", "vie": "vi", "tiếng Việt": "vi", "Tiếng Việt": "vi", "en_GB": "en", " English ": "en", "fr-FR": "fr", "deu": "de", "English (UK)": "en", "\u00a0de\n": "de", "": None, None: None, "und": None, "xx": None, "es": None, "-": None, "n/a": None}
+    df = spark.createDataFrame([(x,) for x in cases], "lang string")
+    assert {r.lang: r.named for r in df.select("lang", l.canonical(df.lang).alias("named")).collect()} == cases
+
+
+def test_a_short_whole_sentence_counts(machines):
+    vi, fr = sentence(random.Random(3), "vi"), "La société a validé."
+    (x,) = l.analysed(machines, [f"{vi} {vi}\n\n{fr}"])
+    assert [s[0] for s in x] == ["vi", "fr"]
+    (x,) = l.analysed(machines, [f"{vi} {vi}\n\nLe budget validé."])
+    assert [s[0] for s in x] == ["vi", "fr"]
+
+
+def test_sentences():
     t = "Es sind 47 Mio. VND gebucht. Das\nist alles.\n\nNeuer Absatz"
     assert [t[a:b] for a, b in l.sentences(t)] == ["Es sind 47 Mio. VND gebucht.", "Das\nist alles.", "Neuer Absatz"]
 
