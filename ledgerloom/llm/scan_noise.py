@@ -1,18 +1,22 @@
 """Problem 1: noise in text from scanned pages, repaired into continuous paragraphs.
 
-Two averaged perceptrons share the work. The character editor goes through a word sign by sign and
-predicts keep, replace, delete, insert (the signs of one confusion become one, or one becomes two), or
-line-join at a line end. A number is judged with its groups joined across '.' and ',', each sign that is
-no digit by the form of the whole and its neighbours; it is repaired when all are to be replaced. For words its features are the signs around, whether the word is known, and how often
-the words occur in the corpus that each edit, with further edits of the same word, would lead to. The
-furniture classifier judges lines by their place in the block and page, the page number, what is left
-of the line without report words, names, codes and years, and whether the line interrupts a sentence.
-
-Both are trained on damage made by rule: words drawn from the corpus lexicon are damaged by the fixed
-confusions, mistyped, or left alone; lines are running headers, page numbers, headings or text.
-The lexicon counts every word of the corpus (map-side sums, one small shuffle). Its `most` commonest
-words, a bounded feature dictionary, are broadcast; rarer words count as unseen, and a word is judged
-by the ratio of counts, so results are alike at every size.
+Averaged perceptrons decide. The character editor goes through a word sign by sign and predicts at each
+place keep, replace, delete (two signs were one), insert (one sign was two), or line-join at a line end.
+What a place may become are the fixed confusions; its features are the signs around, the shape of the
+word (numeral, acronym, code), and how often the best word of the corpus occurs that the choices so far and
+this one lead to. A number is judged with its groups joined across '.' and ',', each sign that is no digit by
+the form of the whole and its neighbours; it is repaired when all are to be replaced. A line classifier
+finds running headers and page numbers by their place in the block, the page number, what is left of
+the line without report words, names, codes and years, and whether the line interrupts a sentence; a
+third one judges a number that ends a label.
+
+All are trained on damage made by rule: words drawn from the commonest words of the corpus are damaged by
+the fixed confusions, mistyped, or left alone; lines are running headers, page numbers, headings or text.
+
+The lexicon counts every word of the corpus (map-side sums, one shuffle). Up to `most` words, counted
+first, it is broadcast. A larger one is never gathered: texts are spread over buckets, and each bucket is
+joined with the words that its texts can ask about. A word is seen when it occurs twice; beyond that only
+ratios of counts and shares of all words play a part, so results are alike at every size.
 
 Null, empty and blank texts have no damage and stay as they are. Tables are never touched.
 """
@@ -33,18 +37,21 @@ from ledgerloom.llm.arrow import mapped
 from ledgerloom.llm.visual_form import one_form
 from ledgerloom.tables import table
 
-#: Words of the lexicon that are broadcast, at most; about 3 MB.
-MOST = 60_000
-#: Words that training draws.
+#: Words of the lexicon that are broadcast, at most; about 10 MB. Beyond it, rows of a bucket.
+MOST = 200_000
+BUCKET_ROWS = 20_000
+#: Words that training draws, of the commonest so many.
 DRAWN = 4000
+LEARNT = 10_000
+#: Misread places of one word, and signs of the longest run that is a word.
+MOST_EDITS = 4
+LONGEST = 40
 # What scanning makes of signs: seen signs, and the signs they stand for.
 CONFUSIONS = {
     "0": ["o"], "1": ["i", "l"], "!": ["i"], "|": ["l", "i"], "5": ["s"], "6": ["b", "g"], "7": ["t"], "8": ["b"], "9": ["g"],
     "li": ["h"], "rn": ["m"], "cl": ["d", "đ"], "vv": ["w"], "ii": ["u", "n"], "u'": ["ư"], "o'": ["ơ"], "c": ["e"], "ä": ["ă"], "ö": ["ô"], "nn": ["m"],
 }
 NUMERIC = {"o": "0", "O": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z": "2", "g": "9", "i": "1", "!": "1", "|": "1"}
-# Words of two signs that scanning leaves of common short words.
-SHORT_WORDS = {"0f", "t0", "1n", "i5", "n0", "1s", "0r", "d0", "g0", "a5", "1t"}
 # Words of running headers and of page numbers, without accents.
 REPORT_WORDS = set("bao cao nam cua mau ky ban in noi bo phan thuyet minh kem theo annual statements report of form year internal print notes to the accompanying financial copy issue working attached b".split())
 PAGE_WORDS = {"trang", "tr", "page", "p", "pg", "of", "so"}
@@ -55,9 +62,10 @@ _piece = regex.compile(r"[\p{L}\p{M}\p{N}!|'’]+")
 _number = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[0-9OolISBZgi!|]++(?:[.,][0-9OolISBZgi!|]++(?![\p{L}\p{M}\p{N}]))*+(?![\p{L}\p{M}\p{N}])")
 _sign = regex.compile(r"<[^<>\n]*>|&#?\w+;|\\\[.*?\\\]|\$[^$\n]*\\[^$\n]*\$|\\[a-zA-Z]+|\{[^{}\n]*\}|\]\([^()\s]*\)|`[^`\n]*`|'{2,}|\||(?<=\S)!(?=\s|$)")
 _code = regex.compile(r"\p{Lu}{1,4}\d{1,6}|\d+|\p{L}|[IVXLivxl]+|\d+\p{L}|[a-km-z]\d{1,3}")
-_trailing = regex.compile(r"(?:\s*[._·…]{3,}|(?:\s+[._·…]){2,}|\s+(?=(?:tr|trang|page|p)\b))\s*(?:tr\.?|trang|page|p\.?)?\s*\d{1,4}(?=\s*$|\s*[\[(][^\[\]()]*[\])]\s*$|\s*,[^,]*$|\s+-\s+\D.*$)", regex.I)
+_ending = regex.compile(r"(?P<lead>\s*[._·…]{3,}\s*|(?:\s+[._·…]){2,}\s*|\s+)(?P<word>(?:trang|page|tr|p)\b\.?\s*)?(?P<n>\d{1,4})(?P<tail>(?=\s*$)|(?=\s*[\[(][^\[\]()]*[\])]\s*$)|(?=\s*,[^,]*$)|(?=\s+-\s+\D.*$))", regex.I)
 _end = regex.compile(r"[.!?:;…][\"”’)\]]*\s*$")
 _inside = regex.compile(r"(?=.{4})\p{L}[\p{Ll}\p{M}]*[0159!|678][\p{Ll}\p{M}]+")
+_confusable = regex.compile("|".join(map(regex.escape, CONFUSIONS)))
 _roman = regex.compile(r"[IVXLC]{2,}|[ivx]{2,}")
 _blank = regex.compile(r"\s+")
 _token = regex.compile(r"\S+")
@@ -73,22 +81,25 @@ def plain(text: str) -> str:
 # ---- Words ------------------------------------------------------------------------------------------
 
 
-def variants(word: str, most: int = 3, cap: int = 400) -> dict[str, tuple[tuple[int, str, str], ...]]:
-    """Words that up to `most` confusions, undone, lead to (lower case), each with its edits (place, seen, meant)."""
-    out: dict[str, tuple] = {}
-    layer: list[tuple[str, int, tuple]] = [(word, 0, ())]
-    for _ in range(most):
-        following = []
-        for w, begin, edits in layer:
-            for at in range(begin, len(w)):
-                for n in (2, 1):
-                    for meant in CONFUSIONS.get(w[at : at + n], ()) if at + n <= len(w) else ():
-                        v = w[:at] + meant + w[at + n :]
-                        e = (*edits, (at, w[at : at + n], meant))
-                        if v not in out and len(out) < cap:
-                            out[v] = e
-                            following.append((v, at + len(meant), e))
-        layer = following
+Edit = tuple[int, str, str]  # place in the word, seen, meant
+
+
+def variants(word: str, starts: set[str] | None = None, most: int = MOST_EDITS) -> dict[str, tuple[Edit, ...]]:
+    """Words that up to `most` confusions, undone, lead to (lower case), each with the fewest edits that do. starts: beginnings of words, and no others, are followed."""
+    out: dict[str, tuple[Edit, ...]] = {}
+    stack: list[tuple[int, str, tuple[Edit, ...]]] = [(0, "", ())] if len(word) <= LONGEST else []
+    while stack:
+        at, built, edits = stack.pop()
+        if at == len(word):
+            if edits and (built not in out or len(edits) < len(out[built])):
+                out[built] = edits
+            continue
+        options = [(1, word[at], edits)]
+        if len(edits) < most:
+            options += [(n, m, (*edits, (at, word[at : at + n], m))) for n in (1, 2) if at + n <= len(word) for m in CONFUSIONS.get(word[at : at + n], ())]
+        for n, m, e in options:
+            if starts is None or built + m in starts:
+                stack.append((at + n, built + m, e))
     return out
 
 
@@ -139,18 +150,22 @@ def _bucket(ratio: float) -> str:
     return "none" if ratio <= 0 else "<1" if ratio < 1 else "<4" if ratio < 4 else "<15" if ratio < 15 else "<60" if ratio < 60 else "60+"
 
 
+Candidate = tuple[str, tuple[Edit, ...], int]  # a word, the edits that lead to it, how often it occurs
+
+
 class Editor:
     """The character editor with a lexicon."""
 
-    def __init__(self, lexicon: dict[str, int]) -> None:
+    def __init__(self, lexicon: dict[str, int], total: int | None = None) -> None:
+        """total: all words of the corpus, if the lexicon is a part of it."""
         self.lexicon = lexicon
+        self.total = total or max(1, sum(lexicon.values()))
         self.unaccented: dict[str, int] = {}
         for w, n in lexicon.items():
             if not w.isascii():
                 p = plain(w)
                 self.unaccented[p] = max(n, self.unaccented.get(p, 0))
-        # Words with no sign that a confusion could have left, and known: nothing to decide.
-        self.sure = {w for w, n in lexicon.items() if n >= 3 and not any(x in w for x in CONFUSIONS)}
+        self.starts = {w[:k] for x in (lexicon, self.unaccented) for w in x for k in range(len(w) + 1)}
         self.model = Perceptron()
         self.known: dict[str, str | None] = {}
         self.joins: dict[tuple[str, str, str], bool] = {}
@@ -160,27 +175,43 @@ class Editor:
         """How often a word occurs, counting it as the unaccented spelling of others, too."""
         return max(self.lexicon.get(word, 0), self.unaccented.get(word, 0))
 
-    def _target(self, word: str) -> tuple[str | None, tuple, float]:
-        """The commonest word that confusions of this one lead to, its edits, and the ratio of counts."""
-        here = self.count(word)
-        best, edits, count = None, (), 0
-        for v, e in variants(word).items():
-            n = self.lexicon.get(v, 0)
-            if n > count * (2 if len(e) > len(edits) else 1) or (n > count and len(e) < len(edits)):
-                best, edits, count = v, e, n
-        return best, edits, count / (here + 0.5)
-
-    def features(self, word: str, at: int, seen: str, target: str | None, edits: tuple, ratio: float) -> list[str]:
-        """Of one place of a word: the signs there and around, and what the lexicon says."""
+    def share(self, count: int) -> str:
+        """How common a word is among all words, in steps."""
+        million = count * 1e6 / self.total
+        return "none" if not count else "<1" if million < 1 else "<10" if million < 10 else "<100" if million < 100 else "<1000" if million < 1000 else "1000+"
+
+    def candidates(self, piece: str) -> list[Candidate]:
+        """The words of the corpus that confusions of this one lead to; if there are none, the word that a lone sign between its letters leaves."""
+        word = piece.lower()
+        out = [(v, e, self.lexicon[v]) for v, e in variants(word, self.starts).items() if v in self.lexicon]
+        if not out and _inside.fullmatch(piece):
+            at = next(k for k, c in enumerate(word) if not c.isalpha())
+            meant = CONFUSIONS[word[at]][0]
+            out = [(word[:at] + meant + word[at + 1 :], ((at, word[at], meant),), 0)]
+        return out
+
+    @staticmethod
+    def shape(piece: str) -> str:
+        """What a word looks like: a numeral, an acronym, a code (letters or digits with one of the other), two letters, or a word."""
+        if _roman.fullmatch(piece):
+            return "roman"
+        if piece.isalpha():
+            return "acronym" if piece.isupper() and len(piece) <= 4 else "two" if len(piece) < 3 else "word"
+        if _code.fullmatch(piece):
+            return f"code{'9' if piece[0].isdigit() else 'A' if piece[0].isupper() else 'a'}{min(len(piece), 4)}"
+        return "mixed"
+
+    def features(self, word: str, shape: str, at: int, seen: str, best: Candidate) -> list[str]:
+        """Of one choice at one place of a word: the signs there and around, the shape of the word, and what the lexicon says of the best word that it leads to."""
+        target, edits, n = best
         left = word[at - 1] if at else "^"
         right = word[at + len(seen)] if at + len(seen) < len(word) else "$"
         kind = lambda c: "a" if c.isalpha() else "9" if c.isdigit() else c if c in "^$" else "?"
         sign = not seen.isalpha()
-        on = any(s == seen for _, s, _ in edits)
-        b = _bucket(ratio)
+        b, f = _bucket(n / (self.count(word) + 0.5)), self.share(n)
         return [
-            "1", f"s={seen}", f"k={sign}{kind(left)}{kind(right)}", f"on={on}{sign}", f"r={b}{sign}{on}", f"r={b}{sign}{on}{min(len(edits), 3)}",
-            f"n={min(len(word), 5)}{sign}", f"known={word in self.lexicon}{b}{sign}", f"target={target is not None}{sign}",
+            "1", f"s={seen}", f"k={sign}{kind(left)}{kind(right)}", f"r={b}{sign}", f"r={b}{sign}{min(len(edits), 3)}", f"n={min(len(word), 5)}{sign}", f"known={word in self.lexicon}{b}{sign}",
+            f"shape={shape}", f"shape={shape}{b}", f"shape={shape}{f}", f"short={word.isalpha()}{min(len(target), 3)}{min(len(word), 3)}", f"f={f}{sign}{min(len(word), 3)}", f"lone={n == 0}{kind(left)}{kind(right)}",
         ]
 
     @staticmethod
@@ -188,17 +219,53 @@ class Editor:
         """replace, or with it delete (two signs were one) or insert (one sign was two)."""
         return "replace" if len(seen) == len(meant) else "delete" if len(seen) > len(meant) else "insert"
 
-    def _decide(self, word: str) -> str | None:
-        """The repaired word, in lower case, or None when it is kept."""
-        target, edits, ratio = self._target(word)
-        if target is None:
-            return None
-        for _, seen, meant in edits:
-            at = word.find(seen)
-            op = self.operation(seen, meant)
-            if self.model.best(self.features(word, at, seen, target, edits, ratio), ("keep", op)) == "keep":
-                return None
-        return target
+    @staticmethod
+    def _choices(live: list[Candidate], at: int) -> dict[Edit, Candidate]:
+        """What a place may become, each with the commonest word it leads to, fewer edits counting double."""
+        out: dict[Edit, Candidate] = {}
+        for c in live:
+            for e in c[1]:
+                if e[0] == at and (e not in out or c[2] / 2 ** len(c[1]) > out[e][2] / 2 ** len(out[e][1])):
+                    out[e] = c
+        return out
+
+    @staticmethod
+    def _still(live: list[Candidate], at: int, edit: Edit | None) -> list[Candidate]:
+        return [c for c in live if (edit in c[1] if edit else all(e[0] != at for e in c[1]))]
+
+    def decide(self, piece: str) -> str | None:
+        """The word after the operations predicted from left to right (lower case), or None when it is kept."""
+        word, shape = piece.lower(), self.shape(piece)
+        live = self.candidates(piece)
+        chosen: tuple[Edit, ...] = ()
+        at = 0
+        while live and at < len(word):
+            best, edit = 0.0, None
+            for e, c in sorted(self._choices(live, at).items(), key=lambda x: -x[1][2]):
+                s = self.model.scores(self.features(word, shape, at, e[1], c))
+                margin = s.get(self.operation(e[1], e[2]), 0.0) - s.get("keep", 0.0)
+                if margin > best:
+                    best, edit = margin, e
+            live = self._still(live, at, edit)
+            if edit:
+                chosen += (edit,)
+            at += len(edit[1]) if edit else 1
+        return next((v for v, e, _ in live if e == chosen), None) if chosen else None
+
+    def _rows(self, piece: str, truth: str | None) -> list[tuple[list[str], str, tuple[str, ...]]]:
+        """Training rows along the right choices of a word; truth: what it is damaged from, if it is."""
+        word, shape = piece.lower(), self.shape(piece)
+        live = self.candidates(piece)
+        right = next((e for v, e, _ in live if v == truth), ())
+        rows, at = [], 0
+        while live and at < len(word):
+            for e, c in self._choices(live, at).items():
+                op = self.operation(e[1], e[2])
+                rows.append((self.features(word, shape, at, e[1], c), op if e in right else "keep", ("keep", op)))
+            edit = next((e for e in right if e[0] == at), None)
+            live = self._still(live, at, edit)
+            at += len(edit[1]) if edit else 1
+        return rows
 
     def repaired(self, piece: str) -> str | None:
         """A repaired piece of text (a run of letters, digits and confusable signs), or None when nothing is wrong with it."""
@@ -211,22 +278,13 @@ class Editor:
         return out
 
     def _repaired(self, piece: str) -> str | None:
-        lower = piece.lower().replace("’", "'").strip("'")
+        bare = piece.replace("’", "'").strip("'")
+        lower = bare.lower()
         letters = sum(c.isalpha() for c in lower)
-        if not letters or len(lower) < 2 or (len(lower) == letters and (lower in self.sure or letters < 3)):
-            return None
-        if _roman.fullmatch(piece):
-            return None
-        # A code (letters, then digits) is a word only when it becomes a common one, without digits.
-        if _code.fullmatch(piece) and (len(lower) < 3 or max((self.count(v) for v in variants(lower) if v.isalpha()), default=0) < 20) and not (len(lower) == 2 and lower[0].isdigit() or lower in SHORT_WORDS):
+        if not letters or not _confusable.search(lower):
             return None
-        plain_letters = letters == len(lower)
-        if plain_letters and piece.isupper() and len(piece) <= 4:
-            return None  # an acronym
-        fixed = self._decide(lower)
-        if fixed is None and _inside.fullmatch(piece):  # a sign between the letters of a mistyped word
-            fixed = next((v for v in variants(lower) if v.isalpha()), None)
-        if fixed is None or (plain_letters and len(fixed) < 3):
+        fixed = self.decide(bare)
+        if fixed is None:
             return None
         if piece.isupper() and letters > 1:
             fixed = fixed.upper()
@@ -246,7 +304,7 @@ class Editor:
         else:
             form = "lone" if len(number) == 1 else "year" if len(number) == 4 and meant[:2] in ("19", "20") else "plain"
         code = _code.fullmatch(number) is not None
-        word = len(groups) == 1 and len(number) > 1 and max((self.count(v) for v in (number.lower(), *variants(number.lower())) if v.isalpha()), default=0) >= 20
+        word = len(groups) == 1 and len(number) > 1 and max((self.count(v) for v in (number.lower(), *variants(number.lower(), self.starts)) if v.isalpha()), default=0) >= self.common
         roman = any(set(g) <= {"I"} for g in groups)
         known = f"{form}{min(digits, 3)}{word}"
         return [
@@ -255,6 +313,11 @@ class Editor:
             f"#shape={''.join(map(kind, number)) if len(number) < 6 else form}", f"#tail={sum(not x.isdigit() for x in number) == 1}{at == len(number) - 1}{form}{c}",
         ]
 
+    @property
+    def common(self) -> float:
+        """How often a word occurs that training draws: five times in a million words."""
+        return max(2.0, 5e-6 * self.total)
+
     def number(self, number: str, before: str = "", after: str = "") -> str | None:
         """The number that a run of digits and confusable signs stands for, or None when it is kept."""
         if not any(c in NUMERIC for c in number):
@@ -300,7 +363,7 @@ class Editor:
                 if form != "plain" or not _code.fullmatch("".join(v)):
                     add("".join(v), before, after, "replace")
         letters, small = "OISBZ", "oligi!|"
-        words = sorted(w for w, n in self.lexicon.items() if n >= 20 and len(w) > 1)
+        words = sorted(w for w, n in self.lexicon.items() if n >= self.common and len(w) > 1)
         likely = [v for w in words for v in (w, w.upper(), *(w.replace(a, b) for a, b in (("o", "0"), ("i", "1"), ("l", "1"), ("s", "5"), ("g", "9")))) if _number.fullmatch(v) and any(c in NUMERIC for c in v)]
         for _ in range(drawn):
             before, after = rng.choice(["", "", "", "(", "-", "/", ".", "’", "'", "&"]), rng.choice(["", "", "", ".", ",", ")", ":", "-", "/", "’", "'", "&"])
@@ -328,7 +391,7 @@ class Editor:
         x = self.lexicon.get
         a, b = a.lower(), b.lower()
         joined, split = x(a + b, 0), x(f"{a}-{b}", 0)
-        return ["1", f"sign={sign != '-'}", f"joined={_bucket(joined)}", f"split={_bucket(split)}", f"parts={x(a, 0) > 3}{x(b, 0) > 3}{joined > 0}", f"digits={a[-1:].isdigit()}{b[:1].isdigit()}", f"more={joined > split}{split > 0}"]
+        return ["1", f"sign={sign != '-'}", f"joined={_bucket(joined)}", f"split={_bucket(split)}", f"parts={x(a, 0) > 0}{x(b, 0) > 0}{joined > 0}", f"digits={a[-1:].isdigit()}{b[:1].isdigit()}", f"more={joined > split}{split > 0}"]
 
     def joins_line(self, a: str, sign: str, b: str) -> bool:
         """Whether a hyphen at a line end splits one word."""
@@ -340,42 +403,59 @@ class Editor:
         return self.joins[key]
 
     def fit(self, seed: int = 3, drawn: int = DRAWN) -> Editor:
-        """Training on words of the lexicon, damaged by rule, mistyped, or left alone."""
+        """Training on words of the lexicon, damaged by rule, mistyped, or left alone, and on numerals, acronyms and codes."""
         rng = random.Random(seed)
-        words = sorted((w for w, n in self.lexicon.items() if n >= 20 and w.isalpha() and len(w) > 1), key=lambda w: (-self.lexicon[w], w))[:8000]
+        words = sorted((w for w, n in self.lexicon.items() if n >= self.common and w.isalpha() and len(w) > 1), key=lambda w: (-self.lexicon[w], w))
         rows: list[tuple[list[str], str, tuple[str, ...]]] = []
         if words:
             back = defaultdict(list)
             for seen, meants in CONFUSIONS.items():
                 for m in meants:
                     back[m].append(seen)
-            chosen = rng.choices(words, weights=[self.lexicon[w] ** 0.5 for w in words], k=drawn)
-            for w in chosen:
+            mistyped = lambda w, k: rng.choice([w[:k] + w[k] + w[k:], w[:k] + w[k + 1 :] or w, w[:k] + w[k : k + 2][::-1] + w[k + 2 :]])
+
+            def damaged(w: str, places: list[int], signs: bool = False) -> str:
+                for k in sorted(places, reverse=True):
+                    w = w[:k] + rng.choice([x for x in back[w[k]] if not signs or not x[-1].isalpha()] or back[w[k]]) + w[k + 1 :]
+                return w
+
+            cased = lambda w: rng.choice([w, w, w, w.capitalize(), w.upper()])
+            for w in rng.choices(words, weights=[self.lexicon[w] ** 0.5 for w in words], k=drawn):
                 kind = rng.random()
                 v, truth = w, None
-                if kind < 0.45:
+                if kind < 0.5:
                     places = [k for k, c in enumerate(w) if c in back]
-                    if places:
-                        for k in sorted(rng.sample(places, min(len(places), rng.choice([1, 1, 1, 2]))), reverse=True):
-                            v = v[:k] + rng.choice(back[w[k]]) + v[k + 1 :]
-                        truth = w
+                    if places and len(w) > 2 or any(not x[-1].isalpha() for k in places for x in back[w[k]]):
+                        v, truth = damaged(w, rng.sample(places, min(len(places), rng.choice([1, 1, 1, 2]))), signs=len(w) < 3), w
+                        if len(w) < 3 and v.isalpha():
+                            v, truth = w, None
                 elif kind < 0.75:  # typing errors: doubled, dropped and swapped letters
-                    k = rng.randrange(len(w))
-                    v = rng.choice([w[:k] + w[k] + w[k:], w[:k] + w[k + 1 :] or w, w[:k] + w[k : k + 2][::-1] + w[k + 2 :]])
+                    v = mistyped(w, rng.randrange(len(w)))
+                elif len(w) > 3:  # a misread sign within a mistyped word
+                    places = [k for k, c in enumerate(w) if 0 < k < len(w) - 1 and any(not x[-1].isalpha() for x in back.get(c, ()))]
+                    if places:
+                        k = rng.choice(places)
+                        x = rng.choice([x for x in back[w[k]] if not x[-1].isalpha()])
+                        v = mistyped(w[:k], rng.randrange(k)) + x + w[k + 1 :]
+                        only = self.candidates(v)
+                        truth = only[0][0] if len(only) == 1 and not only[0][2] else None
+                        if truth is None:
+                            continue
                 if v in self.lexicon and v != w and self.lexicon[v] * 15 > self.lexicon[w]:
                     continue  # another word of the corpus
-                target, edits, ratio = self._target(v)
-                if target is None:
-                    continue
-                for _, seen, meant in edits:
-                    op = self.operation(seen, meant)
-                    rows.append((self.features(v, v.find(seen), seen, target, edits, ratio), op if truth == target else "keep", ("keep", op)))
+                rows += self._rows(v if len(w) < 3 else cased(v), truth)
             for w in words:  # words of the corpus that confusions would make other words of it
-                target, edits, ratio = self._target(w)
-                if target is not None and ratio < 15:
-                    for _, seen, meant in edits:
-                        op = self.operation(seen, meant)
-                        rows.append((self.features(w, w.find(seen), seen, target, edits, ratio), "keep", ("keep", op)))
+                if max((n for _, _, n in self.candidates(w)), default=0) < 15 * self.count(w):
+                    rows += self._rows(w, None)
+            letters = "ABCDEFGHIKLMNOPQRSTUVXYZ"
+            for _ in range(drawn // 2):  # numerals, acronyms, codes and pairs of letters
+                n, c = rng.randint(1, 9999), rng.choice(letters)
+                v = rng.choice([
+                    "".join(rng.choice("IVX") for _ in range(rng.randint(2, 4))), "".join(rng.choice("ivx") for _ in range(rng.randint(2, 3))), "".join(rng.choice(letters) for _ in range(rng.randint(2, 4))),
+                    f"{c}{n % 10 ** rng.randint(1, 4)}", f"{c}{rng.choice(letters)}{n % 1000}", f"{n % 100}{c}", f"{n % 100}{c.lower()}", f"{rng.choice('bcdghklmtv')}{n % 100}", rng.choice(letters).lower() + rng.choice(letters).lower(), f"{c}{n % 10}{rng.choice(letters)}",
+                ])
+                if v.lower() not in self.lexicon or len(v) < 3 or not v.isalpha():
+                    rows += self._rows(v, None)
             for w in rng.choices(words, k=drawn // 4):
                 if len(w) > 2:
                     k = rng.randrange(1, len(w))
@@ -383,7 +463,7 @@ class Editor:
                 other = rng.choice(words)
                 if w + other not in self.lexicon:
                     rows.append((self.join_features(w, "-", other), "keep", ("keep", "line-join")))
-            for w in sorted(x for x in self.lexicon if "-" in x)[:2000]:
+            for w in sorted(x for x in self.lexicon if "-" in x):
                 a, _, b = w.partition("-")
                 rows.append((self.join_features(a, "-", b), "keep", ("keep", "line-join")))
         self.model.train(rows)
@@ -423,7 +503,7 @@ def line_features(lines: list[str], k: int, page: int | None, code: str, year: s
     return [
         "1", f"place={place}", f"page={page_only}{mine}", f"page={page_only}{mine}{place}", f"rest={min(len(rest), 3)}{marks > 0}", f"marks={marks}", f"marks={marks}{min(len(rest), 3)}{closed}",
         f"closed={closed}{page_only}", f"cut={cut and goes_on}{page_only}{marks > 0}", f"all={not rest and marks > 0 and not closed}", f"numbers={min(len(numbers), 3)}{page_only}", f"named={had_name}{had_year}{had_code}",
-        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{sum(t in REPORT_WORDS for t in named) >= 2}", f"low={min(low, 3)}{min(marks, 2)}", f"core={min(len(rest), 3)}{min(low, 3)}{had_name}{had_year}{had_code}{closed}{page_only}", f"low={min(low, 3)}{dash}{closed}", f"clean={low == 0 and marks > 1 and not closed}{dash}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"report={sum(t in REPORT_WORDS for t in named) >= 2}{marks > 0}{not rest}",
+        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{sum(t in REPORT_WORDS for t in named) >= 2}", f"low={min(low, 3)}{min(marks, 2)}", f"core={min(len(rest), 3)}{min(low, 3)}{had_name}{had_year}{had_code}{closed}{page_only}", f"low={min(low, 3)}{dash}{closed}", f"clean={low == 0 and marks > 1 and not closed}{dash}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"sure={had_name}{had_year}{had_code}{dash}{goes_on}", f"report={sum(t in REPORT_WORDS for t in named) >= 2}{marks > 0}{not rest}",
     ]
 
 
@@ -445,6 +525,8 @@ def _line_rows(seed: int = 9, blocks: int = 3000) -> list[tuple[list[str], str,
                 s[rng.randrange(len(s)) : 0] = [*name.split()]
             if rng.random() < 0.2:
                 s += [rng.choice(["năm", "in", "trang", "page"]), rng.choice([year, str(page), str(rng.randint(1, 40))])]
+            if not words and rng.random() < 0.2:  # a name soon after the beginning, where lines may end
+                s[rng.randint(2, 5) : 0] = [*name.split()]
             s[0] = s[0].capitalize()
             s[-1] += "."
             words += s
@@ -482,6 +564,37 @@ def _line_rows(seed: int = 9, blocks: int = 3000) -> list[tuple[list[str], str,
     return rows
 
 
+def ending_features(text: str, m: regex.Match, page: int | None) -> list[str]:
+    """Of a number that ends a label: what leads to it, what follows it, and whether it is the page's or a year."""
+    lead = "dots" if any(c in "._·…" for c in m["lead"]) else "space"
+    word = m["word"] is not None
+    last = regex.search(r"[\p{L}\p{N}]*$", text[: m.start()])[0]
+    tail = text[m.end() :].strip()[:1] or "$"
+    n = m["n"]
+    return ["1", f"lead={lead}", f"word={word}", f"lead={lead}{word}", f"tail={tail}{lead}", f"page={page is not None and n == str(page)}{lead}{word}", f"size={len(n)}{lead}{word}", f"year={len(n) == 4 and n[:2] in ('19', '20')}{lead}", f"last={last.isdigit()}{last == ''}{lead}{word}"]
+
+
+def _ending_rows(seed: int = 13, labels: int = 1500) -> list[tuple[list[str], str, tuple[str, ...]]]:
+    """Training labels made by rule: page numbers after leaders or the word for page; years, notes and other numbers after a space."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(labels):
+        page = rng.randint(1, 60)
+        text = " ".join(rng.choice("chi phí bán hàng tồn kho vốn the cost sales group note plan".split()) for _ in range(rng.randint(1, 6)))
+        tail = rng.choice(["", "", "", " (ĐVT: đ)", " [tr.đ]", ", đồng", " - triệu đồng"])
+        n = rng.choice([page, rng.randint(1, 99), rng.randint(1, 300)])
+        if rng.random() < 0.5:
+            lead, label = rng.choice([" ..... ", "......", " . . . . ", " … … … ", " ____ ", " ···· ", " trang ", " tr. ", " p. ", " page ", " .... trang ", " ... p."]), "page"
+        else:
+            lead, label, n = " ", "text", rng.choice([rng.randint(1990, 2030), n, n, f"{rng.randint(1, 9)}", rng.randint(100, 400)])
+            text += rng.choice(["", "", " năm", " mục", " TM", " số", " note", " form", " 12", " I"])
+        full = f"{text}{lead}{n}{tail}"
+        m = _ending.search(full)
+        if m:
+            rows.append((ending_features(full, m, page), label, ("text", "page")))
+    return rows
+
+
 # Words that no list of report words has, for headers in training.
 _STRANGE = ["Gamma alpha", "Delta", "Omega beta gamma", "Sigma theta", "Lambda"]
 
@@ -502,22 +615,18 @@ def _page_number(rng: random.Random, name: str, code: str, year: str, page: int)
 
 
 class Repairer:
-    def __init__(self, lexicon: dict[str, int], editor: Perceptron | None = None, furniture: Perceptron | None = None, names: dict[str, str] | None = None) -> None:
-        self.editor = Editor(lexicon)
-        if editor is None:
-            self.editor.fit()
-        else:
-            self.editor.model = editor
-        self.furniture = furniture or Perceptron().train(_line_rows(), rounds=8)
+    def __init__(self, lexicon: dict[str, int], total: int | None = None, models: tuple[Perceptron, ...] | None = None, names: dict[str, str] | None = None) -> None:
+        self.editor = Editor(lexicon, total)
+        if models is None:
+            models = (self.editor.fit().model, Perceptron().train(_line_rows(), rounds=8), Perceptron().train(_ending_rows()))
+        self.models = models
+        self.editor.model, self.furniture, self.endings = models
         self.names = names or {}
         self.clean: set[str] = set()
+        self.labels: dict = {}  # labels judged before
 
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
-        line = lines[k].strip()
-        # What every line with a page number or a mark of the report has; others are text without asking.
-        if not line or not (len(line) < 20 and any(map(str.isdigit, line)) or (year and year in line) or (code and code in line) or " – " in line or " | " in line):
-            return False
-        return self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
+        return bool(lines[k].strip()) and self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
 
     @staticmethod
     def spared(text: str) -> str:
@@ -563,9 +672,9 @@ class Repairer:
                 kinds.append("furniture")
                 lines = [x for k, x in enumerate(lines) if k not in gone]
                 text = "\n".join(lines)
-        if label and _trailing.search(text):
+        if label and (m := _ending.search(text)) and self.endings.best(ending_features(text, m, page), ("text", "page")) == "page":
             kinds.append("page number")
-            text = _trailing.sub("", text)
+            text = text[: m.start()] + text[m.end() :]
         if "\n" in text and _hyphen.search(text):
             done = []
 
@@ -606,8 +715,8 @@ class Repairer:
         return "\n".join(out).strip()
 
 
-def lexicon(texts: DataFrame, column: str, most: int = MOST) -> dict[str, int]:
-    """Counts of the commonest words over all rows of a text column, `most` at most: lower case, in one form, hyphenated ones too."""
+def lexicon(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n, bare): how often each word of a text column occurs that occurs twice or more, lower case, in one form, hyphenated ones too; bare: without accents, if it has any."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         c: Counter = Counter()
@@ -617,25 +726,28 @@ def lexicon(texts: DataFrame, column: str, most: int = MOST) -> dict[str, int]:
         words: Counter = Counter()
         for token, n in c.items():
             w = token.strip(".,;:()[]{}\"“”'!?%*_~`<>=|")
-            if w and w.replace("-", "").isalpha():
+            if w and len(w) <= LONGEST and w.replace("-", "").isalpha():
                 words[unicodedata.normalize("NFC", w)] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(words), type=pa.string()), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
-
-    counted = mapped(texts.select(column), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("length(word) <= 40 and n > 1").persist()
-    try:
-        # The least count that at most `most` words reach, from a histogram of some hundred rows; only those words travel.
-        steps = counted.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()
-        total, least = 0, None
-        for r in steps:
-            total += r["count"]
-            if total > most:
-                break
-            least = r["step"]
-        if least is None:
-            return {}
-        return {r[0]: r[1] for r in counted.where(F.floor(F.log2("n") * 16) >= least).collect()}
-    finally:
-        counted.unpersist()
+        bare = [None if w.isascii() else plain(w) for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(list(words), type=pa.string()), pa.array(bare, type=pa.string()), pa.array(list(words.values()), type=pa.int64())], names=["word", "bare", "n"])
+
+    counted = mapped(texts.select(column), count, "word string, bare string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.first("bare").alias("bare")).where("n > 1")
+
+
+def asked(text: str) -> set[str]:
+    """Every word whose count the repair of a text can depend on."""
+    out = set()
+    for m in _hyphen.finditer(text):
+        a, b = m[1].lower(), m[3].lower()
+        out |= {a, b, a + b, f"{a}-{b}"}
+    joined = _hyphen.sub(lambda m: m[1] + m[3] + " " + m[1] + " " + m[3], text)
+    for token in set((text + " " + joined).split()):
+        for p in {*_piece.findall(token), *_number.findall(token)}:
+            lower = p.lower().replace("’", "'").strip("'")
+            if _confusable.search(lower) or any(c.isdigit() for c in lower):
+                out |= {lower, *variants(lower)}
+    return out
 
 
 def _items(spark: SparkSession, d: str, blocks: bool, labels: bool) -> DataFrame:
@@ -649,25 +761,28 @@ def _items(spark: SparkSession, d: str, blocks: bool, labels: bool) -> DataFrame
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> DataFrame:
+def repaired(items: DataFrame, companies: DataFrame, write: bool = True, most: int = MOST) -> DataFrame:
     """items (field, record_key, text, doc_id, page) with `clean` (null unless `write`) and `damage`, the kinds found.
 
     doc_id begins with the company's code and the year, as report keys do; without them, lines are
     judged by the rest. Company names are joined by code, the least of a code's names.
     """
     spark = items.sparkSession
-    words = lexicon(items, "text")
+    counted = lexicon(items, "text").persist()
+    try:
+        size, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        commonest = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "word").limit(LEARNT).select("word", "n").collect()}
+        words = {r[0]: r[1] for r in counted.select("word", "n").collect()} if size <= most else {}  # of a size just counted
+    finally:
+        counted.unpersist()
     names = companies.where("code is not null and name is not null").groupBy(F.col("code").alias("_code")).agg(F.min("name").alias("_name"))
-    first = Repairer(words)
-    shipped = spark.sparkContext.broadcast((words, first.editor.model, first.furniture))
+    named = items.withColumn("_code", F.substring_index("doc_id", "_", 1)).join(names, "_code", "left").select("field", "record_key", "text", "doc_id", "page", "_name")
+    shipped = spark.sparkContext.broadcast((words, total, Repairer(commonest, total).models))
     made: dict = {}
     kind = pa.list_(pa.string())
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        if "r" not in made:
-            made["r"] = Repairer(*shipped.value)
-        r = made["r"]
-        cache = made.setdefault("labels", {})
+    def run(b: pa.RecordBatch, r: Repairer) -> pa.RecordBatch:
+        cache = r.labels
         form, _ = one_form(b.column(2))
         clean, damage = [], []
         for field, text, doc, page, name in zip(b.column(0).to_pylist(), form.to_pylist(), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
@@ -682,7 +797,7 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
                 if len(r.names) > 300_000:
                     r.names.clear()
                 r.names[code] = plain(name)
-            key = text if label and "\n" not in text else None
+            key = (text, page if _ending.search(text) else None) if label and "\n" not in text else None
             hit = cache.get(key) if key is not None else None
             if hit is None:
                 hit = r.repair(text, page, code, year, label, write)
@@ -694,8 +809,36 @@ def repaired(items: DataFrame, companies: DataFrame, write: bool = True) -> Data
             damage.append(hit[1])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(clean, type=pa.string()), pa.array(damage, type=kind)], names=["field", "record_key", "clean", "damage"])
 
-    named = items.withColumn("_code", F.substring_index("doc_id", "_", 1)).join(names, "_code", "left")
-    return mapped(named.select("field", "record_key", "text", "doc_id", "page", "_name"), run, "field string, record_key string, clean string, damage array<string>")
+    schema = "field string, record_key string, clean string, damage array<string>"
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        if "r" not in made:
+            made["r"] = Repairer(*shipped.value)
+        return run(b, made["r"])
+
+    if size <= most:
+        return mapped(named, whole, schema)
+
+    def questions(b: pa.RecordBatch) -> pa.RecordBatch:
+        form, _ = one_form(b.column(1))
+        by: dict[int, set[str]] = defaultdict(set)
+        for bucket, text in zip(b.column(0).to_pylist(), form.to_pylist(), strict=True):
+            if text:
+                by[bucket] |= asked(text)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, x in by.items() for _ in x], type=pa.int32()), pa.array([w for x in by.values() for w in sorted(x)], type=pa.string())], names=["_b", "_w"])
+
+    def answers(texts: pa.Table, known: pa.Table) -> pa.Table:
+        _, all_words, models = shipped.value
+        r = Repairer(dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True)), all_words, models)
+        out = [run(b, r) for b in texts.select(["field", "record_key", "text", "doc_id", "page", "_name"]).combine_chunks().to_batches(max_chunksize=10_000) if b.num_rows]
+        return pa.Table.from_batches(out, schema=pa.schema([("field", pa.string()), ("record_key", pa.string()), ("clean", pa.string()), ("damage", kind)]))
+
+    buckets = max(1, -(-items.count() // BUCKET_ROWS))
+    spread = named.withColumn("_b", F.pmod(F.xxhash64("field", "record_key", "text"), F.lit(buckets)).cast("int"))
+    wanted = mapped(spread.select("_b", "text"), questions, "_b int, _w string").distinct()
+    exact = wanted.join(counted, F.col("_w") == F.col("word")).select("_b", "word", "n")
+    accented = wanted.join(counted, F.col("_w") == F.col("bare")).select("_b", "word", "n")
+    return spread.groupBy("_b").cogroup(exact.unionByName(accented).distinct().groupBy("_b")).applyInArrow(answers, schema)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

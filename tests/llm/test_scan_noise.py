@@ -92,10 +92,27 @@ def test_long_running_header(repairer):
     assert repairer.repair(text, 7, "XX017", "2015") == (text, [])
 
 
-def test_company_names_beyond_any_count(spark, monkeypatch):
-    monkeypatch.setattr(s, "MOST", 1)
+def test_company_names_beyond_any_count(spark):
     text = "khoản vay được theo dõi trong năm và thông qua\n{} – Ghi chú\nmức chi phí của công ty theo kế hoạch trong năm."
     rows = [("f", "1", text.format("Gỗ Đá Nước"), "AA_2015", 7), ("f", "2", text.format("Dệt may bến bãi"), "BB_2015", 7), ("f", "3", text.format("Dệt may bến bãi"), "CC_2015", 7), ("f", "4", text.format("Dệt may bến bãi"), None, 7)]
     df = spark.createDataFrame(rows, "field string, record_key string, text string, doc_id string, page int")
     co = spark.createDataFrame([("AA", "Gỗ Đá Nước"), ("BB", "Dệt may bến bãi"), ("BB", None), ("BB", "Dệt may bến bãi")], "code string, name string")
-    assert {r.record_key: r.damage for r in s.repaired(df, co).collect()} == {"1": ["furniture"], "2": ["furniture"], "3": [], "4": []}
+    assert {r.record_key: r.damage for r in s.repaired(df, co, most=1).collect()} == {"1": ["furniture"], "2": ["furniture"], "3": [], "4": []}
+
+
+def test_lexicon_beyond_the_broadcast(spark):
+    """Buckets joined with the words they ask about give what the broadcast lexicon gives."""
+    words = TEXT.split()
+    rows = [("blocks.content", str(k), " ".join(words[k % 40 :] + words[: k % 40]), "AA_2015", k % 9) for k in range(120)]
+    rows += [("blocks.content", f"d{k}", t, "AA_2015", 3) for k, t in enumerate(["the c0mpany rec0rded an am0unt", "tliông qua chi plií bán liàng", "the com-\npany recorded", "the one-\noff amount", "a sum of 1.2S4 and 2OlS", "côn9 ty 9hi nhận", "- 3 -\nthe group", None, ""])]
+    rows += [("financial_facts.raw_label", f"f{k}", t, "AA_2015", 3) for k, t in enumerate(["chi phi 8án hàng", "Chi phí bán hàng ..... 5", "Thuc hien theo thue"])]
+    df = spark.createDataFrame(rows, "field string, record_key string, text string, doc_id string, page int")
+    co = spark.createDataFrame([("AA", "Công ty A")], "code string, name string")
+    whole, parts = (sorted((r.record_key, r.clean or "", tuple(r.damage)) for r in s.repaired(df, co, most=n).collect()) for n in (s.MOST, 3))
+    assert whole == parts and sum(bool(x[2]) for x in whole) >= 7
+
+
+def test_choices_at_one_place():
+    """A sign that may be either of two letters becomes the one that makes a word; several places of a word are decided one after the other."""
+    e = s.Repairer({"bill": 900, "list": 900, "light": 400, "title": 500, "international": 300, "company": 900, "the": 2000, "of": 3000, "in": 3000}).editor
+    assert [e.repaired(x) for x in ("b1ll", "1ist", "t1tle", "Tit1e", "internati0na1", "1nternati0na1", "COMPANY", "II", "B12")] == ["bill", "list", "title", "Title", "international", "international", None, None, None]
