@@ -60,7 +60,7 @@ _hyphen = regex.compile(r"([\p{L}\p{M}0-9!|']+)([-‐¬­])[ \t]*\r?\n[ \t]*([\p
 _piece = regex.compile(r"[\p{L}\p{M}\p{N}!|'’]+")
 # A run of digits and of signs that scanning makes of them; '.' and ',' join the groups of one number.
 _number = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[0-9OolISBZgi!|]++(?:[.,][0-9OolISBZgi!|]++(?![\p{L}\p{M}\p{N}]))*+(?![\p{L}\p{M}\p{N}])")
-_sign = regex.compile(r"<[^<>\n]*>|&#?\w+;|\\\[.*?\\\]|\$[^$\n]*\\[^$\n]*\$|\\[a-zA-Z]+|\{[^{}\n]*\}|\]\([^()\s]*\)|`[^`\n]*`|'{2,}|\||(?<=\S)!(?=\s|$)")
+_sign = regex.compile(r"<[^<>\n]*>|&#?\w+;|\\\[.*?\\\]|\$[^$\n]*\\[^$\n]*\$|\\[a-zA-Z]+|\{[^{}\n]*\}|\]\([^()\s]*\)|`[^`\n]*`|'{2,}|\|")
 _code = regex.compile(r"\p{Lu}{1,4}\d{1,6}|\d+|\p{L}|[IVXLivxl]+|\d+\p{L}|[a-km-z]\d{1,3}")
 _ending = regex.compile(r"(?P<lead>\s*[._·…]{3,}\s*|(?:\s+[._·…]){2,}\s*|\s+)(?P<word>(?:trang|page|tr|p)\b\.?\s*)?(?P<n>\d{1,4})(?P<tail>(?=\s*$)|(?=\s*[\[(][^\[\]()]*[\])]\s*$)|(?=\s*,[^,]*$)|(?=\s+-\s+\D.*$))", regex.I)
 _end = regex.compile(r"[.!?:;…][\"”’)\]]*\s*$")
@@ -633,7 +633,16 @@ class Repairer:
         """A text with blanks in place of markup, as long as before."""
         if not ("<" in text or "\\" in text or "{" in text or "`" in text or "](" in text or "''" in text or "|" in text or "!" in text or "&" in text):
             return text
-        return _sign.sub(lambda m: m.group() if m.group() == "|" and 0 < m.start() < len(text) - 1 and text[m.start() - 1].isalpha() or m.group() == "|" and m.end() < len(text) and text[m.end()].isalpha() else " " * len(m.group()), text)
+        alone = text.count("|") == 1  # a sign for a letter, not one of a table or link
+
+        def blank(m: regex.Match) -> str:
+            if m.group() == "|":
+                a, b = m.span()
+                if a and text[a - 1].isalpha() and (alone or b < len(text)) or text[b : b + 1].isalpha():
+                    return "|"
+            return " " * len(m.group())
+
+        return _sign.sub(blank, text)
 
     def words(self, spared: str) -> tuple[dict[str, str], dict[str, str]]:
         """The damaged pieces of a text without markup and what they become, and its tokens with damaged numbers and what they become."""

@@ -2,7 +2,7 @@ import pytest
 
 from ledgerloom.llm import scan_noise as s
 
-TEXT = "the company recorded an amount of the loan under the plan in the year and the budget for the group was not changed before the quarter công ty ghi nhận chi phí bán hàng trong năm khoản vay được theo dõi tháng tổng thông qua mức đồng nghìn một lần theo thuế thực hiện hạn dài ngắn one-off thue thuc"
+TEXT = "the company recorded an amount of the loan under the plan in the year and the budget for the group was not changed before the quarter công ty ghi nhận chi phí bán hàng trong năm khoản vay được theo dõi tháng tổng thông qua mức đồng nghìn một lần theo tai thuế thực hiện hạn dài ngắn one-off thue thuc"
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,9 @@ def repairer():
         ("quarter III of the plan, HD711/2013, KW037, R&D (*)", set()),
         ("a price of $5 for T12 and B2B", set()),
         ("Thuc hien theo thue", set()),
+        ("chi phí tạ! công ty trong nă!", set()),
+        ("ghi nhận khoả! lo| trong tháng!", set()),
+        ("ghi nhận ch! phí theo ta|", {"character"}),
     ],
 )
 def test_characters_and_joins(repairer, text, kinds):
