@@ -23,6 +23,7 @@ Null, empty and blank texts have no damage and stay as they are. Tables are neve
 
 from __future__ import annotations
 
+import functools
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -55,6 +56,7 @@ NUMERIC = {"o": "0", "O": "0", "l": "1", "I": "1", "S": "5", "B": "8", "Z": "2",
 # Words of running headers and of page numbers, without accents.
 REPORT_WORDS = set("bao cao nam cua mau ky ban in noi bo phan thuyet minh kem theo annual statements report of form year internal print notes to the accompanying financial copy issue working attached b".split())
 PAGE_WORDS = {"trang", "tr", "page", "p", "pg", "of", "so"}
+ANY_WORDS = REPORT_WORDS | PAGE_WORDS
 
 _hyphen = regex.compile(r"([\p{L}\p{M}0-9!|']+)([-‐¬­])[ \t]*\r?\n[ \t]*([\p{L}\p{M}0-9!|']+)")
 _piece = regex.compile(r"[\p{L}\p{M}\p{N}!|'’]+")
@@ -67,7 +69,11 @@ _end = regex.compile(r"[.!?:;…][\"”’)\]]*\s*$")
 _inside = regex.compile(r"(?=.{4})\p{L}[\p{Ll}\p{M}]*[0159!|678][\p{Ll}\p{M}]+")
 _confusable = regex.compile("|".join(map(regex.escape, CONFUSIONS)))
 _roman = regex.compile(r"[IVXLC]{2,}|[ivx]{2,}")
-_blank = regex.compile(r"\s+")
+_accents = regex.compile(r"\p{M}+")
+_alnum = regex.compile(r"[\p{L}\p{N}]+")
+_named = regex.compile(r"\p{L}[\p{L}\p{N}]*")
+_last = regex.compile(r"[\p{L}\p{N}]*$")
+_form = regex.compile(r"b\d+")
 _token = regex.compile(r"\S+")
 
 
@@ -75,7 +81,10 @@ def plain(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
-    return regex.sub(r"\p{M}+", "", unicodedata.normalize("NFD", text.lower())).replace("đ", "d")
+    return _accents.sub("", unicodedata.normalize("NFD", text.lower())).replace("đ", "d")
+
+
+plain_word = functools.lru_cache(200_000)(plain)
 
 
 # ---- Words ------------------------------------------------------------------------------------------
@@ -108,6 +117,7 @@ class Perceptron:
 
     def __init__(self) -> None:
         self.weights: dict[str, dict[str, float]] = {}
+        self.ahead: dict[tuple[str, str], dict[str, float]] = {}
 
     def scores(self, features: Iterable[str]) -> dict[str, float]:
         out: dict[str, float] = defaultdict(float)
@@ -116,6 +126,13 @@ class Perceptron:
                 out[label] += w
         return out
 
+    def over(self, features: list[str], label: str, other: str) -> bool:
+        """Whether one label is ahead of another; the differences of their weights are kept."""
+        if (label, other) not in self.ahead:
+            self.ahead[label, other] = {f: w.get(label, 0.0) - w.get(other, 0.0) for f, w in self.weights.items()}
+        get = self.ahead[label, other].get
+        return sum([get(f, 0.0) for f in features]) > 0
+
     def best(self, features: list[str], labels: Iterable[str]) -> str:
         s = self.scores(features)
         return max(labels, key=lambda x: (s.get(x, 0.0), x))
@@ -474,25 +491,36 @@ class Editor:
 # ---- Lines ------------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(10_000)
+def _spared_words(name: str) -> set[str]:
+    """Words of running headers that may be in small letters: those of reports, of kinds of companies, and of a name."""
+    return REPORT_WORDS | set(name.split()) | {"cong", "ty", "doan", "tap", "tong", "co", "phan"}
+
+
 def line_features(lines: list[str], k: int, page: int | None, code: str, year: str, name: str) -> list[str]:
     """Of line k of a block: its place, its numbers, and what is left of it without report words, names, codes and years."""
     line = lines[k].strip()
+    own = code.lower()
     f = plain(line)
     had_name = bool(name) and name in f
-    if had_name:
-        f = f.replace(name, " ")
-    had_code = bool(code) and code.lower() in f
+    had_code = bool(own) and own in f
     had_year = bool(year) and year in f
-    tokens = regex.findall(r"[\p{L}\p{N}]+", f)
+    tokens = _alnum.findall(f.replace(name, " ") if had_name else f)
     numbers = [t for t in tokens if t.isdigit()]
-    named = [t for t in tokens if not t.isdigit()]
-    rest = [t for t in named if t not in REPORT_WORDS and t != code.lower() and t not in PAGE_WORDS and not (code and code.lower() in t) and not regex.fullmatch(r"b\d+", t)]
-    originals = regex.findall(r"\p{L}[\p{L}\p{N}]*", line)
-    capitals = len(originals) > 2 and sum(t[0].isupper() for t in originals) >= 0.6 * len(originals)
-    spared = REPORT_WORDS | set(name.split()) | {"cong", "ty", "doan", "tap", "tong", "co", "phan"}
-    low = sum(t[0].islower() and plain(t) not in spared for t in originals)
+    named = [t for t in tokens if not t.isdigit()] if numbers else tokens
+    reported = sum([t in REPORT_WORDS for t in named])
+    rest = [t for t in named if t not in ANY_WORDS and not (had_code and own in t) and not (t[0] == "b" and _form.fullmatch(t))]
+    originals = _named.findall(line)
+    small = [t for t in originals if t[0].islower()]
+    capitals = len(originals) > 2 and sum([t[0].isupper() for t in originals]) >= 0.6 * len(originals)
+    spared, low = _spared_words(name), 0
+    for t in small:
+        if plain_word(t) not in spared:
+            low += 1
+            if low == 3:  # no feature tells more
+                break
     dash = " – " in line or " | " in line or " - " in line
-    page_only = bool(numbers) and all(t in PAGE_WORDS for t in named) and len(tokens) <= 4 and not had_name
+    page_only = bool(numbers) and len(tokens) <= 4 and not had_name and all(t in PAGE_WORDS for t in named)
     before, after = (lines[k - 1].strip() if k else ""), (lines[k + 1].strip() if k + 1 < len(lines) else "")
     cut = bool(before) and not _end.search(before)
     goes_on = bool(after) and (after[0].islower() or after[0].isdigit() or cut)
@@ -503,7 +531,7 @@ def line_features(lines: list[str], k: int, page: int | None, code: str, year: s
     return [
         "1", f"place={place}", f"page={page_only}{mine}", f"page={page_only}{mine}{place}", f"rest={min(len(rest), 3)}{marks > 0}", f"marks={marks}", f"marks={marks}{min(len(rest), 3)}{closed}",
         f"closed={closed}{page_only}", f"cut={cut and goes_on}{page_only}{marks > 0}", f"all={not rest and marks > 0 and not closed}", f"numbers={min(len(numbers), 3)}{page_only}", f"named={had_name}{had_year}{had_code}",
-        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{sum(t in REPORT_WORDS for t in named) >= 2}", f"low={min(low, 3)}{min(marks, 2)}", f"core={min(len(rest), 3)}{min(low, 3)}{had_name}{had_year}{had_code}{closed}{page_only}", f"low={min(low, 3)}{dash}{closed}", f"clean={low == 0 and marks > 1 and not closed}{dash}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"sure={had_name}{had_year}{had_code}{dash}{goes_on}", f"report={sum(t in REPORT_WORDS for t in named) >= 2}{marks > 0}{not rest}",
+        f"words={min(len(named), 12) // 3}", f"caps={capitals}{dash}{closed}{min(marks, 2)}", f"table={line[:1] in '|{!`<' or (line[:2] in ('- ', '* ') and not page_only)}{page_only}", f"parts={dash}{had_year}{closed}{reported >= 2}", f"low={min(low, 3)}{min(marks, 2)}", f"core={min(len(rest), 3)}{min(low, 3)}{had_name}{had_year}{had_code}{closed}{page_only}", f"low={min(low, 3)}{dash}{closed}", f"clean={low == 0 and marks > 1 and not closed}{dash}", f"short={len(rest) <= 2}{min(marks, 2)}{dash}{closed}", f"sure={had_name}{had_year}{had_code}{dash}{goes_on}", f"report={reported >= 2}{marks > 0}{not rest}",
     ]
 
 
@@ -568,7 +596,7 @@ def ending_features(text: str, m: regex.Match, page: int | None) -> list[str]:
     """Of a number that ends a label: what leads to it, what follows it, and whether it is the page's or a year."""
     lead = "dots" if any(c in "._·…" for c in m["lead"]) else "space"
     word = m["word"] is not None
-    last = regex.search(r"[\p{L}\p{N}]*$", text[: m.start()])[0]
+    last = _last.search(text[: m.start()])[0]
     tail = text[m.end() :].strip()[:1] or "$"
     n = m["n"]
     return ["1", f"lead={lead}", f"word={word}", f"lead={lead}{word}", f"tail={tail}{lead}", f"page={page is not None and n == str(page)}{lead}{word}", f"size={len(n)}{lead}{word}", f"year={len(n) == 4 and n[:2] in ('19', '20')}{lead}", f"last={last.isdigit()}{last == ''}{lead}{word}"]
@@ -626,7 +654,7 @@ class Repairer:
         self.labels: dict = {}  # labels judged before
 
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
-        return bool(lines[k].strip()) and self.furniture.best(line_features(lines, k, page, code, year, self.names.get(code, "")), ("text", "furniture")) == "furniture"
+        return bool(lines[k].strip()) and self.furniture.over(line_features(lines, k, page, code, year, self.names.get(code, "")), "furniture", "text")
 
     @staticmethod
     def spared(text: str) -> str:
