@@ -491,6 +491,11 @@ class Editor:
 # ---- Lines ------------------------------------------------------------------------------------------
 
 
+def ended(line: str) -> bool:
+    """Whether a line ends a sentence or clause, before closing quotes and brackets."""
+    return line.rstrip().rstrip("\"”’)]")[-1:] in tuple(".!?:;…")
+
+
 @functools.lru_cache(10_000)
 def _spared_words(name: str) -> set[str]:
     """Words of running headers that may be in small letters: those of reports, of kinds of companies, and of a name."""
@@ -522,11 +527,11 @@ def line_features(lines: list[str], k: int, page: int | None, code: str, year: s
     dash = " – " in line or " | " in line or " - " in line
     page_only = bool(numbers) and len(tokens) <= 4 and not had_name and all(t in PAGE_WORDS for t in named)
     before, after = (lines[k - 1].strip() if k else ""), (lines[k + 1].strip() if k + 1 < len(lines) else "")
-    cut = bool(before) and not _end.search(before)
+    cut = bool(before) and not ended(before)
     goes_on = bool(after) and (after[0].islower() or after[0].isdigit() or cut)
     place = "only" if len(lines) == 1 else "first" if not k else "last" if k == len(lines) - 1 else "middle"
     mine = page is not None and str(page) in numbers
-    closed = bool(_end.search(line)) and not line.endswith(":") and not page_only
+    closed = ended(line) and not line.endswith(":") and not page_only
     marks = had_name + had_code + had_year
     return [
         "1", f"place={place}", f"page={page_only}{mine}", f"page={page_only}{mine}{place}", f"rest={min(len(rest), 3)}{marks > 0}", f"marks={marks}", f"marks={marks}{min(len(rest), 3)}{closed}",
@@ -652,9 +657,49 @@ class Repairer:
         self.names = names or {}
         self.clean: set[str] = set()
         self.labels: dict = {}  # labels judged before
+        self.text_bound: dict[tuple, bool] = {}
 
     def is_furniture(self, lines: list[str], k: int, page: int | None, code: str, year: str) -> bool:
-        return bool(lines[k].strip()) and self.furniture.over(line_features(lines, k, page, code, year, self.names.get(code, "")), "furniture", "text")
+        name = self.names.get(code, "")
+        if not lines[k].strip() or self.surely_text(lines, k, code, year, name):
+            return False
+        return self.furniture.over(line_features(lines, k, page, code, year, name), "furniture", "text")
+
+    def surely_text(self, lines: list[str], k: int, code: str, year: str, name: str) -> bool:
+        """Whether a line without marks of the report, with three words of its own in small letters, is text whatever its other features: their largest weights are not enough. An exact bound, so no answer changes."""
+        line = lines[k].strip()
+        f = plain(line[:100]) if len(line) > 100 else plain(line)
+        if (year and year in line) or (code and code.lower() in (f if len(line) <= 100 else plain(line))) or (name and name in (f if len(line) <= 100 else plain(line))):
+            return False
+        tokens, originals = _alnum.findall(f), _named.findall(line[:100])
+        if len(line) > 100:  # the last ones may be cut
+            tokens, originals = tokens[:-1], originals[:-1]
+        spared = _spared_words(name)
+        if sum([t not in ANY_WORDS and not t.isdigit() and not (t[0] == "b" and _form.fullmatch(t)) for t in tokens]) < 3 or sum([t[0].islower() and plain_word(t) not in spared for t in originals]) < 3:
+            return False
+        dash = " – " in line or " | " in line or " - " in line
+        before, after = (lines[k - 1].strip() if k else ""), (lines[k + 1].strip() if k + 1 < len(lines) else "")
+        cut = bool(before) and not ended(before)
+        goes_on = bool(after) and (after[0].islower() or after[0].isdigit() or cut)
+        key = (dash, ended(line) and not line.endswith(":"), "only" if len(lines) == 1 else "first" if not k else "last" if k == len(lines) - 1 else "middle", cut and goes_on, goes_on, line[:1] in "|{!`<" or line[:2] in ("- ", "* "))
+        if key not in self.text_bound:
+            self.text_bound[key] = self._text_bound(*key) <= 0
+        return self.text_bound[key]
+
+    def _text_bound(self, dash: bool, closed: bool, place: str, cut: bool, goes_on: bool, table: bool) -> float:
+        """The most that the features of such a line can sum to, over what is not known of it."""
+        self.furniture.over([], "furniture", "text")
+        get = self.furniture.ahead["furniture", "text"].get
+        no = [False, True]
+        fixed = [
+            "1", f"place={place}", "rest=3False", "marks=0", f"marks=03{closed}", f"closed={closed}False", f"cut={cut}FalseFalse", "all=False", "named=FalseFalseFalse", f"table={table}False",
+            "low=30", f"core=33FalseFalseFalse{closed}False", f"low=3{dash}{closed}", f"clean=False{dash}", f"short=False0{dash}{closed}", f"sure=FalseFalseFalse{dash}{goes_on}",
+        ]
+        unknown = [
+            [(f"page=False{m}", f"page=False{m}{place}") for m in no], [(f"numbers={n}False",) for n in range(4)], [(f"words={n}",) for n in range(5)],
+            [(f"caps={c}{dash}{closed}0",) for c in no], [(f"parts={dash}False{closed}{r}", f"report={r}FalseFalse") for r in no],
+        ]
+        return sum(get(f, 0.0) for f in fixed) + sum(max(sum(get(f, 0.0) for f in group) for group in groups) for groups in unknown)
 
     @staticmethod
     def spared(text: str) -> str:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerloom.llm import scan_noise as s
@@ -119,3 +121,17 @@ def test_choices_at_one_place():
     """A sign that may be either of two letters becomes the one that makes a word; several places of a word are decided one after the other."""
     e = s.Repairer({"bill": 900, "list": 900, "light": 400, "title": 500, "international": 300, "company": 900, "the": 2000, "of": 3000, "in": 3000}).editor
     assert [e.repaired(x) for x in ("b1ll", "1ist", "t1tle", "Tit1e", "internati0na1", "1nternati0na1", "COMPANY", "II", "B12")] == ["bill", "list", "title", "Title", "international", "international", None, None, None]
+
+
+def test_the_bound_on_lines_changes_no_answer(repairer):
+    rng = random.Random(4)
+    words = "chi phí bán 12 2015 báo cáo năm Công ty Kỳ Hồ Triều the Notes XX017 b3 – | - of trang 7 (kế hoạch). tới: ”".split()
+    skipped = 0
+    for _ in range(3000):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 4))]
+        k, page, code, year = rng.randrange(len(lines)), rng.choice([7, 12, None]), rng.choice(["XX017", "", "YY1"]), rng.choice(["2015", "", "2016"])
+        name = repairer.names.get(code, "")
+        judged = repairer.furniture.over(s.line_features(lines, k, page, code, year, name), "furniture", "text")
+        assert repairer.is_furniture(lines, k, page, code, year) == (judged and bool(lines[k].strip()))
+        skipped += repairer.surely_text(lines, k, code, year, name)
+    assert skipped > 300
