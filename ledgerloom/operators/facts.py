@@ -57,9 +57,12 @@ def with_ordinal(facts: DataFrame) -> DataFrame:
     return facts.withColumn("ordinal", F.row_number().over(w)).withColumn("name", F.concat_ws("_", "doc_id", "period_type", "concept", F.when(F.col("ordinal") > 1, F.col("ordinal").cast("string"))))
 
 
-# Words that speak against a concept of the income statement, and those of sub-items.
-FLOW_WORDS = "lưu chuyển|tiền thuần|biến động|thanh lý|cổ tức|tiền chi|tiền thu"
-PART_WORDS = "khác|dự phòng|nguyên giá|hao mòn"
+# Words that speak against a concept of the income statement, those of sub-items, and those that speak for flows of capital.
+FLOW_WORDS = "|".join(["lưu chuyển", "tiền thuần", "biến động", "thanh lý", "cổ tức", "tiền chi", "tiền thu"])
+PART_WORDS = "|".join(["khác", "dự phòng", "nguyên giá", "hao mòn"])
+CAPITAL_WORDS = "|".join(["cổ phiếu", "vốn góp", "nợ thuê", "thuê tài chính"])
+CAPITAL = ["FLOW_EQUITY_IN", "FLOW_CAPITAL_BACK", "FLOW_LEASE_OUT"]
+OTHERS = ["INCOME_OTHER", "COST_OTHER"]
 INCOME = ["REVENUE_NET", "COST_SALES", "PROFIT_GROSS", "PROFIT_OPERATING", "PROFIT_PRETAX", "PROFIT_NET"]
 TOTALS = ["RECV_CUSTOMER_SHORT", "STOCK_NET", "RECV_CUSTOMER_LONG"]
 
@@ -74,6 +77,7 @@ def priority(expected: Column) -> Column:
         + F.when(income & low.rlike(FLOW_WORDS), -100).otherwise(0)
         + F.when((F.col("concept") == "REVENUE_NET") & low.contains("doanh thu"), 20).when((F.col("concept") == "COST_SALES") & low.contains("giá vốn"), 20).when((F.col("concept") == "PROFIT_GROSS") & low.contains("lợi nhuận gộp"), 20).otherwise(0)
         + F.when(F.col("concept").isin(TOTALS) & low.rlike(PART_WORDS), -40).otherwise(0)
+        + F.when((F.col("concept").isin(CAPITAL) & low.rlike(CAPITAL_WORDS)) | (F.col("concept").isin(OTHERS) & low.contains("khác")), 20).otherwise(0)
     )
 
 
@@ -110,12 +114,13 @@ def unknown_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (extracted_facts, fact_ordinals, fact_winners, unknown_rows)}
-_PRIORITY = f"""10 + CASE WHEN regexp_replace(coalesce(standard_code, ''), '[^0-9]', '', 'g') = code THEN 50 WHEN regexp_replace(coalesce(standard_code, ''), '[^0-9]', '', 'g') <> '' THEN -30 ELSE 0 END
+PRIORITY = f"""10 + CASE WHEN regexp_replace(coalesce(standard_code, ''), '[^0-9]', '', 'g') = code THEN 50 WHEN regexp_replace(coalesce(standard_code, ''), '[^0-9]', '', 'g') <> '' THEN -30 ELSE 0 END
  + CASE WHEN concept IN ({", ".join(repr(x) for x in INCOME)}) AND regexp_matches(lower(coalesce(raw_label, '')), '{FLOW_WORDS}') THEN -100 ELSE 0 END
  + CASE WHEN concept = 'REVENUE_NET' AND contains(lower(raw_label), 'doanh thu') THEN 20 WHEN concept = 'COST_SALES' AND contains(lower(raw_label), 'giá vốn') THEN 20 WHEN concept = 'PROFIT_GROSS' AND contains(lower(raw_label), 'lợi nhuận gộp') THEN 20 ELSE 0 END
- + CASE WHEN concept IN ({", ".join(repr(x) for x in TOTALS)}) AND regexp_matches(lower(coalesce(raw_label, '')), '{PART_WORDS}') THEN -40 ELSE 0 END"""
+ + CASE WHEN concept IN ({", ".join(repr(x) for x in TOTALS)}) AND regexp_matches(lower(coalesce(raw_label, '')), '{PART_WORDS}') THEN -40 ELSE 0 END
+ + CASE WHEN concept IN ({", ".join(repr(x) for x in CAPITAL)}) AND regexp_matches(lower(coalesce(raw_label, '')), '{CAPITAL_WORDS}') THEN 20 WHEN concept IN ({", ".join(repr(x) for x in OTHERS)}) AND contains(lower(coalesce(raw_label, '')), 'khác') THEN 20 ELSE 0 END"""
 WINNERS = f"""w AS (SELECT doc_id, period_type, concept, seq, value, priority FROM (
-  SELECT f.*, {_PRIORITY} AS priority FROM financial_facts f JOIN concept_definitions c USING (concept) WHERE value IS NOT NULL)
+  SELECT f.*, {PRIORITY} AS priority FROM financial_facts f JOIN concept_definitions c USING (concept) WHERE value IS NOT NULL)
   QUALIFY row_number() OVER (PARTITION BY doc_id, period_type, concept ORDER BY priority DESC, seq) = 1)"""
 ORACLES = {
     "fact_ordinals": """

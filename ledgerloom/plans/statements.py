@@ -18,7 +18,7 @@ def facts_of_blocks(b: DataFrame, concepts: DataFrame) -> DataFrame:
 def audited_documents(spark: SparkSession, d: str) -> DataFrame:
     """Per document: facts, concepts, checks, failed checks and ratios, from tables as they are; base_unit_shares has the share of facts in base units."""
     f, c = table(spark, d, "financial_facts"), table(spark, d, "concept_definitions")
-    chosen = facts.winners(f, c)
+    chosen = facts.winners(audit.current(f), c)
     w = audit.wide(chosen)
     counts = f.groupBy("doc_id").agg(F.count("*").alias("facts"), F.countDistinct("concept").alias("concepts"))
     reports = audit.reports(audit.checked(w)).select("doc_id", "checks", "failed")

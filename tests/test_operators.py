@@ -51,12 +51,12 @@ def test_facts_and_audit(spark):
     rows = facts.mapped(facts.table_rows(made(spark, [{"block_type": "table", "content": table}, {"block_type": "table", "content": None}])), concepts)
     f = facts.unpivoted(rows)
     assert {(r.concept, r.period_type, r.value) for r in f.collect()} == {("ASSETS_TOTAL", "current", 1000.0), ("ASSETS_TOTAL", "previous", 900.0), ("SOURCES_TOTAL", "current", 950.0), ("SOURCES_TOTAL", "previous", 900.0), (None, "current", 5.0), (None, "previous", 0.0)}
-    stored = spark.createDataFrame([(1, "d", "current", "ASSETS_TOTAL", "290", "x", 1000.0), (2, "d", "current", "ASSETS_TOTAL", "999", "x", 7.0), (3, "d", "current", "SOURCES_TOTAL", "490", "x", 950.0), (4, "e", "current", "ASSETS_TOTAL", "290", None, 10.0), (5, "e", "current", "SOURCES_TOTAL", None, None, 11.0), (6, "e", "current", None, None, None, None)], "seq long, doc_id string, period_type string, concept string, standard_code string, raw_label string, value double")
+    stored = spark.createDataFrame([(1, "d", "current", "ASSETS_TOTAL", "290", "x", 1000.0), (2, "d", "current", "ASSETS_TOTAL", "999", "x", 7.0), (3, "d", "current", "SOURCES_TOTAL", "490", "x", 950.0), (4, "e", "current", "ASSETS_TOTAL", "290", None, 10.0), (5, "e", "current", "SOURCES_TOTAL", None, None, 11.0), (6, "e", "current", None, None, None, None)], "seq long, doc_id string, period_type string, concept string, standard_code string, raw_label string, value double").withColumns({"period": F.lit("2020"), "year": F.lit(2020)})
     chosen = facts.winners(stored, concepts)
     assert {(r.doc_id, r.concept, r.seq) for r in chosen.collect()} == {("d", "ASSETS_TOTAL", 1), ("d", "SOURCES_TOTAL", 3), ("e", "ASSETS_TOTAL", 4), ("e", "SOURCES_TOTAL", 5)}
     checks = audit.checked(audit.wide(chosen))
     assert {(r.doc_id, r.check_id, r.passed) for r in checks.collect()} == {("d", 1, False), ("e", 1, True)}
-    assert {(r.doc_id, r.concept, r.score) for r in audit.suspects(checks).collect()} == {("d", "ASSETS_TOTAL", 10), ("d", "SOURCES_TOTAL", 10)}
+    assert {(r.doc_id, r.concept, r.score) for r in audit.suspects(checks, stored).collect()} == {("d", "ASSETS_TOTAL", 10), ("d", "SOURCES_TOTAL", 10)}
     trial = audit.what_if(chosen, spark.createDataFrame([("d", "SOURCES_TOTAL", 1000.0), ("d", "ASSETS_TOTAL", 1.0), ("d", "ASSETS_TOTAL", None)], "doc_id string, concept string, value double"))
     assert {(r.concept, r.accepted) for r in trial.collect()} == {("SOURCES_TOTAL", True), ("ASSETS_TOTAL", False)}
     assert audit.ratios(audit.wide(facts.winners(stored.where("false"), concepts))).count() == 0
@@ -64,7 +64,7 @@ def test_facts_and_audit(spark):
 
 def test_ratios(spark):
     v = {"ASSETS_SHORT": 100.0, "STOCK_NET": 20.0, "CASH_POOL": 10.0, "DEBT_SHORT": 50.0, "DEBT_TOTAL": 80.0, "EQUITY_TOTAL": 120.0, "ASSETS_TOTAL": 200.0, "REVENUE_NET": 300.0, "PROFIT_GROSS": 90.0, "PROFIT_OPERATING": 45.0, "PROFIT_NET": 30.0}
-    chosen = spark.createDataFrame([("d", "current", c, k, x) for k, (c, x) in enumerate(v.items())], "doc_id string, period_type string, concept string, seq long, value double")
+    chosen = spark.createDataFrame([("d", "current", c, k, x, None) for k, (c, x) in enumerate(v.items())], "doc_id string, period_type string, concept string, seq long, value double, raw_label string")
     got = {r.ratio: r.value for r in audit.ratios(audit.wide(chosen)).collect()}
     assert got == {"current_ratio": 2.0, "quick_ratio": 1.6, "cash_ratio": 0.2, "debt_to_equity": 0.6667, "debt_to_assets": 0.4, "financial_leverage": 1.6667, "gross_margin": 0.3, "net_profit_margin": 0.1, "operating_margin": 0.15, "roa": 0.15, "roe": 0.25, "asset_turnover": 1.5, "distress_score": pytest.approx(0.717 * 0.25 + 3.107 * 0.225 + 0.42 * 1.5 + 0.998 * 1.5, abs=1e-4)}
 
