@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.text import code_key
 from ledgerloom.tables import table
@@ -42,21 +43,21 @@ def _guarded(label: Column, guards: Column) -> Column:
 
 
 def _by_patterns(part: DataFrame):
-    """A function of a label and its statement: the first concept, its statement's before others, one of whose patterns is in the label. Patterns are compiled once a worker."""
+    """A function of a label and its statement: the first concept by the chart's own order, its statement's before others, one of whose patterns is in the label. Patterns are compiled once a worker."""
     rows = [(r["ord"], r["concept"], r["statement_type"], r["patterns"] or [], r["guards"] or []) for r in part.collect()]  # of a size the caller has checked
-    kind = pa.struct([("o", pa.bool_()), ("ord", pa.string()), ("concept", pa.string())])
-    rows.sort(key=lambda r: (r[0], r[1]))
-    places = {r[1]: f"{k:06d}" for k, r in enumerate(rows)}
+    order = part.schema["ord"].dataType
+    kind = pa.struct([("o", pa.bool_()), ("ord", to_arrow_type(order)), ("concept", pa.string())])
+    rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
     made: dict = {}
 
-    @F.arrow_udf("struct<o:boolean,ord:string,concept:string>")
+    @F.arrow_udf(f"struct<o:boolean,ord:{order.simpleString()},concept:string>")
     def best(labels: pa.Array, statements: pa.Array) -> pa.Array:
         if "p" not in made:
-            made["p"] = [(c, s, regex.compile("|".join(f"(?:{p})" for p in ps)), g) for _, c, s, ps, g in rows if ps]
+            made["p"] = [(k, c, s, regex.compile("|".join(f"(?:{p})" for p in ps)), g) for k, (_, c, s, ps, g) in enumerate(rows) if ps]
         out = []
         for low, told in zip(labels.to_pylist(), statements.to_pylist(), strict=True):
-            found = [(bool(told) and s != told, places[c], c) for c, s, p, g in made["p"] if p.search(low) and not any(w in low for w in g)]
-            out.append(dict(zip(("o", "ord", "concept"), min(found), strict=True)) if found else None)
+            found = [(bool(told) and s != told, k) for k, c, s, p, g in made["p"] if p.search(low) and not any(w in low for w in g)]
+            out.append({"o": min(found)[0], "ord": rows[min(found)[1]][0], "concept": rows[min(found)[1]][1]} if found else None)
         return pa.array(out, type=kind)
 
     return best
@@ -67,8 +68,8 @@ def matched(rows: DataFrame, of: DataFrame, key: list[str], broadcast: int = BRO
 
     Codes of one or two digits match with and without a leading zero. Of a code's concepts those of the
     row's statement count if there are any; then the lowest ord. A concept whose guard the label holds
-    is out. Rows without a match by code are matched by patterns; there a row with a code of two signs
-    or more only takes concepts of that code, or any if it has none in the chart.
+    is out. Rows without a match by code are matched by patterns, whatever their code. The result does not
+    depend on `broadcast`.
     """
     n = of.count()
     small = (lambda x: F.broadcast(x)) if n <= broadcast else (lambda x: x)

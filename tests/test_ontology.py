@@ -15,3 +15,18 @@ def test_tiers_and_guards(spark):
     for size in (100, 2):
         assert {r.k: (r.concept, r.tier) for r in ontology.matched(rows, chart, ["k"], broadcast=size).collect()} == want
     assert ontology.matched(rows.where("false"), chart, ["k"]).count() == 0
+
+
+def test_winner_does_not_depend_on_the_blocks(spark):
+    """Two concepts match one label; the lower ord wins, in one block or in many, whatever block each falls into."""
+    chart = spark.createDataFrame([(c, None, "BALANCE_SHEET", k, ["vốn"] if c in "ZA" else ["khác"], []) for k, c in enumerate("ZYXWVAUTS")], CHART)
+    rows = spark.createDataFrame([(1, "Vốn góp", None, None)], "k int, label string, code string, statement string")
+    for size in (100, 4, 2, 1):
+        assert [r.concept for r in ontology.matched(rows, chart, ["k"], broadcast=size).collect()] == ["Z"]
+
+
+def test_guards_in_blocks(spark):
+    chart = spark.createDataFrame([("A", None, "BALANCE_SHEET", 1, ["vốn"], ["góp"]), ("B", None, "BALANCE_SHEET", 2, ["vốn góp"], []), ("C", None, "CASH_FLOW", 0, ["vốn"], ["tài sản"])], CHART)
+    rows = spark.createDataFrame([(1, "Vốn góp", None, "BALANCE_SHEET"), (2, "vốn", None, None), (3, "Nguồn vốn", None, None)], "k int, label string, code string, statement string")
+    for size in (100, 1):
+        assert {r.k: r.concept for r in ontology.matched(rows, chart, ["k"], broadcast=size).collect()} == {1: "B", 2: "C", 3: "A"}
