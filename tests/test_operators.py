@@ -94,7 +94,7 @@ def test_evaluation(spark):
 
 
 def test_boxes(spark):
-    items = [("d", "1", 10.0, 10.0, 60.0, 20.0, "Label"), ("d", "1", 100.0, 11.0, 150.0, 21.0, "1.2"), ("d", "1", 152.0, 11.0, 180.0, 21.0, "34"), ("d", "1", 10.0, 40.0, 58.0, 50.0, "Other"), ("d", "1", 120.0, 41.0, 178.0, 51.0, "5"), ("d", "2", None, 1.0, 2.0, 3.0, "x")]
+    items = [("d", "1", 10.0, 10.0, 60.0, 20.0, "Label"), ("d", "1", 100.0, 11.0, 150.0, 21.0, "1."), ("d", "1", 152.0, 11.0, 180.0, 21.0, "234"), ("d", "1", 10.0, 40.0, 58.0, 50.0, "Other"), ("d", "1", 120.0, 41.0, 178.0, 51.0, "5"), ("d", "2", None, 1.0, 2.0, 3.0, "x")]
     df = spark.createDataFrame(items, ocr_geometry.ITEM)
     (r,) = ocr_geometry.rebuilt(df).collect()
     assert r.content == "| Label | 1.234 |\n| --- | --- |\n| Other | 5 |"
