@@ -32,6 +32,7 @@ class _Reader(HTMLParser):
             if not self.tables[-1]:
                 self.tables[-1].append([])
             a = dict(attrs)
+            # The standard's bound on spans.
             size = lambda x: max(1, min(1000, int(x))) if str(x or "").isdigit() else 1
             self.tables[-1][-1].append(["", size(a.get("rowspan")), size(a.get("colspan")), tag == "th"])
             self.cell = True

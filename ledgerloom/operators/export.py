@@ -57,8 +57,8 @@ def document_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_as_json(spark: SparkSession, d: str) -> DataFrame:
     c = chunk_json(table(spark, d, "chunks"))
-    back = F.from_json("json", "chunk_id string, level int, hierarchy struct<breadcrumb:string>, tables struct<table_count:int>")
-    return c.select("chunk_id", back.alias("b")).select("chunk_id", (F.col("b.chunk_id") == F.col("chunk_id")).alias("same"), "b.level", "b.hierarchy.breadcrumb", "b.tables.table_count")
+    back = F.from_json("json", "chunk_id string, level int, title string, reference_code string, hierarchy struct<breadcrumb:string,breadcrumb_path:array<string>,parent_id:string>, tables struct<has_table:boolean,table_count:int,table_headers:array<string>>")
+    return c.select(back.alias("b")).select("b.chunk_id", "b.level", "b.title", "b.reference_code", "b.hierarchy.breadcrumb", F.array_join("b.hierarchy.breadcrumb_path", ">").alias("path"), "b.hierarchy.parent_id", "b.tables.table_count", F.size("b.tables.table_headers").alias("headers"))
 
 
 def document_manifests(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def document_manifests(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (document_markdown, chunks_as_json, document_manifests)}
 ORACLES = {
-    "chunks_as_json": "SELECT chunk_id, true AS same, level, breadcrumb, table_count FROM chunks",
+    "chunks_as_json": "SELECT chunk_id, level, clean_title AS title, reference_code, breadcrumb, array_to_string(breadcrumb_path, '>') AS path, parent_id, table_count, len(table_headers)::INT AS headers FROM chunks",
     "document_manifests": f"""
 WITH {ONCE}, p AS (SELECT doc_id, page, CASE WHEN bool_or(block_type = 'table') OR (coalesce(sum(length(trim(content))), 0) >= 50 AND NOT bool_or(coalesce(meta['is_scanned'] = 'true', false))) THEN 1 ELSE 0 END AS t FROM b GROUP BY ALL),
 k AS (SELECT doc_id, count(*) AS pages, CASE WHEN sum(t) = count(*) THEN 'native' WHEN sum(t) = 0 THEN 'scanned' WHEN sum(t) / count(*) >= 0.75 THEN 'native' ELSE 'hybrid' END AS kind FROM p GROUP BY doc_id),

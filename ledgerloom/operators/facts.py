@@ -18,7 +18,7 @@ KEY = ["doc_id", "period_type", "concept"]
 def table_rows(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, row, label, code, current, previous): data rows of statement tables, by the roles of their columns; rows without label or with too few cells are left out."""
     b = blocks.where("block_type = 'table' and content is not null").withColumn("_g", grid(F.col("content"))).where(F.size("_g") >= 2)
-    b = b.withColumn("_r", column_roles(F.element_at("_g", 1))).select("doc_id", "block_id", "page", "_r", F.posexplode(F.slice("_g", 2, 1_000_000)).alias("row", "_c"))
+    b = b.withColumn("_r", column_roles(F.element_at("_g", 1))).select("doc_id", "block_id", "page", "_r", F.posexplode(F.slice("_g", 2, F.size("_g"))).alias("row", "_c"))
     needed = F.greatest(F.col("_r.label"), F.coalesce("_r.code", F.lit(0)), F.coalesce("_r.current", F.lit(0)), F.coalesce("_r.previous", F.lit(0)))
     cell = lambda name: F.get(F.col("_c"), F.col(f"_r.{name}"))
     out = b.where(F.size("_c") > needed).select(

@@ -88,10 +88,8 @@ def adhoc_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct concepts by source, exactly; and whether the approximate count is within 5 %."""
-    f = table(spark, d, "financial_facts")
-    g = f.groupBy("source").agg(F.countDistinct("concept").alias("concepts"), F.approx_count_distinct("concept", 0.01).alias("_a"))
-    return g.select("source", "concepts", (F.abs(F.col("_a") - F.col("concepts")) <= 0.05 * F.col("concepts")).alias("approximation_holds"))
+    """Distinct concepts and companies by source."""
+    return table(spark, d, "financial_facts").groupBy("source").agg(F.countDistinct("concept").alias("concepts"), F.countDistinct("company").alias("companies"))
 
 
 def document_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +125,7 @@ FROM financial_facts WHERE upper(trim(company)) = (SELECT upper(trim(company)) F
     "status_rollup": "SELECT source, verification_status, count(*) AS facts, grouping_id(source, verification_status)::int AS level FROM financial_facts GROUP BY ROLLUP (source, verification_status)",
     "source_cube": "SELECT source, period_type, count(*) AS facts, count(value) AS with_value, grouping_id(source, period_type)::int AS level FROM financial_facts GROUP BY CUBE (source, period_type)",
     "adhoc_grouping_sets": "SELECT year, doc_type, count(*) AS documents FROM documents GROUP BY GROUPING SETS ((year), (doc_type), ())",
-    "distinct_concepts": "SELECT source, count(DISTINCT concept) AS concepts, true AS approximation_holds FROM financial_facts GROUP BY source",
+    "distinct_concepts": "SELECT source, count(DISTINCT concept) AS concepts, count(DISTINCT company) AS companies FROM financial_facts GROUP BY source",
     "document_sets": """
 WITH b AS (SELECT DISTINCT doc_id FROM blocks), f AS (SELECT DISTINCT doc_id FROM financial_facts)
 SELECT 'both' AS part, count(*) AS documents FROM b JOIN f USING (doc_id) UNION ALL SELECT 'blocks_only', count(*) FROM b ANTI JOIN f USING (doc_id) UNION ALL SELECT 'facts_only', count(*) FROM f ANTI JOIN b USING (doc_id) UNION ALL SELECT 'all', count(*) FROM (SELECT * FROM b UNION SELECT * FROM f)
