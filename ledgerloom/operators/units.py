@@ -86,7 +86,6 @@ def header_unit(headers: Column) -> Column:
 
 def block_units(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, table_id, block_unit): one row per table block that names a unit. Repeated rows count once."""
-    small = F.broadcast(names)  # fixed: made from the constants above and the unit table
     b = (
         blocks.where("block_type = 'table'")
         .select(
@@ -98,7 +97,7 @@ def block_units(blocks: DataFrame, names: DataFrame) -> DataFrame:
         )
         .where("c.spelling is not null and c.spelling <> ''")
         .select("doc_id", "table_id", "c.rank", "c.spelling")
-        .join(small, "spelling")
+        .join(names, "spelling")
     )
     return b.groupBy("doc_id", "table_id").agg(F.min(F.struct("rank", "unit_code")).alias("m")).select("doc_id", "table_id", F.col("m.unit_code").alias("block_unit"))
 
@@ -109,10 +108,10 @@ def converted(facts: DataFrame, blocks: DataFrame, units: DataFrame, default: st
     The unit of the row is that of `unit`, else that of `raw_label`, else that of the table block,
     else `default`. A null value gives a null base_value; a unit field that no spelling matches
     counts as naming none; a fact without table_id has no block. Other columns are kept, but for
-    clashing names, which are replaced.
+    clashing names, which are replaced. The base value is value x factor + offset; a unit table without
+    offsets has none. The unit tables are joined as Catalyst sees fit for their size.
     """
-    names = F.broadcast(spellings(units))
-    names = names.select(F.col("spelling").alias("_spelling"), F.col("unit_code").alias("_code"))
+    names = spellings(units).select(F.col("spelling").alias("_spelling"), F.col("unit_code").alias("_code"))
     facts = facts.drop("unit_code", "quantity", "base_unit", "factor", "base_value")
     own = facts.withColumn("_field", folded(F.col("unit")))
     own = own.join(names.select(F.col("_spelling").alias("_field"), F.col("_code").alias("_of_field")), "_field", "left")
@@ -122,8 +121,9 @@ def converted(facts: DataFrame, blocks: DataFrame, units: DataFrame, default: st
     own = own.withColumn("_of_row", F.coalesce("_of_field", "_l0", "_l1", "_l2", "_l3")).drop("_field", "_of_field", "_c", *[f"_{x}{k}" for x in "sl" for k in range(4)])
     of_block = block_units(blocks, names.select(F.col("_spelling").alias("spelling"), F.col("_code").alias("unit_code")))
     joined = own.join(of_block, ["doc_id", "table_id"], "left").withColumn("unit_code", F.coalesce("_of_row", "block_unit", F.lit(default))).drop("_of_row", "block_unit")
-    known = F.broadcast(units.select("unit_code", "quantity", "base_unit", F.col("factor")))
-    return joined.join(known, "unit_code", "left").withColumn("base_value", F.col("value") * F.col("factor")).drop("factor")
+    offset = F.coalesce("offset", F.lit(0.0)) if "offset" in units.columns else F.lit(0.0)
+    known = units.select("unit_code", "quantity", "base_unit", "factor", offset.alias("_offset"))
+    return joined.join(known, "unit_code", "left").withColumn("base_value", F.col("value") * F.col("factor") + F.col("_offset")).drop("factor", "_offset")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +175,11 @@ x AS (SELECT *, regexp_extract(l, '.*(?:^|[^a-z])(?:dvt|don vi tinh|don vi|tinh
   regexp_extract(l, ',\\s*([^,]+?)$', 1) AS a2, regexp_extract(l, ',\\s*([^,]+,[^,]+?)$', 1) AS a3 FROM f),
 r AS (SELECT seq, coalesce(n.code, n0.code, n1.code, n2.code, n3.code, bu.code, 'VND') AS unit_code FROM x LEFT JOIN names n ON u = n.spelling LEFT JOIN names n0 ON a0 = n0.spelling LEFT JOIN names n1 ON a1 = n1.spelling
   LEFT JOIN names n2 ON a2 = n2.spelling LEFT JOIN names n3 ON a3 = n3.spelling LEFT JOIN bu ON x.doc_id = bu.doc_id AND x.table_id = bu.block_id)
-SELECT seq, unit_code FROM r JOIN unit_definitions USING (unit_code) WHERE unit_code <> base_unit
 """
 
 
-ORACLES: dict[str, str] = {"p5_found": _oracle()}
+_UNITS = _oracle()
+ORACLES: dict[str, str] = {
+    "p5_found": f"{_UNITS} SELECT seq, unit_code FROM r JOIN unit_definitions USING (unit_code) WHERE unit_code <> base_unit",
+    "p5_values": f"{_UNITS} SELECT unit_code, base_unit, count(*) AS facts, count(value) AS with_value, round(max(abs(value * factor)), 2) AS largest FROM r JOIN financial_facts USING (seq) JOIN unit_definitions USING (unit_code) GROUP BY ALL",
+}

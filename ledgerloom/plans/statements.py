@@ -53,6 +53,8 @@ def base_unit_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (audited_documents, extracted_against_stored, values_in_base_units, base_unit_shares)}
 ORACLES = {
+    "values_in_base_units": f"{units._UNITS} SELECT seq, doc_id, unit_code, value, value * factor AS base_value FROM r JOIN financial_facts USING (seq) JOIN unit_definitions USING (unit_code)",
+    "base_unit_shares": f"{units._UNITS} SELECT doc_id, count(*) AS facts, avg((unit_code = base_unit)::INT) AS in_base_units FROM r JOIN financial_facts USING (seq) JOIN unit_definitions USING (unit_code) GROUP BY doc_id",
     "audited_documents": f"""
 WITH {audit._C}, n AS (SELECT doc_id, count(*) AS facts, count(DISTINCT concept) AS concepts FROM financial_facts GROUP BY 1), k AS (SELECT doc_id, count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed FROM ch GROUP BY 1),
 r AS (SELECT doc_id, count(*) AS ratios FROM ({audit._sql_ratios()}) GROUP BY 1)
