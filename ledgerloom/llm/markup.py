@@ -73,8 +73,14 @@ _KINDS = [
     ("break", 3, r"(?P<o>\\\\[ \t]*\n?)"),
     ("cell", 3, r"(?P<o>[ \t]&[ \t])"),
 ]
-KINDS = [(n, f, regex.compile(p, regex.S if n in ("comment", "fence", "grid") else 0)) for n, f, p in _KINDS]
+KINDS = [(n, f, regex.compile(p, regex.S if n in ("comment", "fence", "grid") else 0)) for n, f, p in _KINDS]  # those of PAIRED say the same, for reading
 KIND = {n: k for k, (n, _, _) in enumerate(_KINDS)}
+#: Kinds that may span lines, as opening and closing: they are paired in one scan, however many are never closed.
+PAIRED = {
+    "comment": (regex.compile(r"<!--"), regex.compile(r"-->")),
+    "fence": (regex.compile(r"(?m)^[ \t]*(?:```|~~~)[^\n`]*\n"), regex.compile(r"(?m)^[ \t]*(?:```|~~~)[ \t]*$")),
+    "grid": (regex.compile(r"(?m)^[ \t]*\{\|[^\n]*$\n?"), regex.compile(r"(?m)^[ \t]*\|\}[ \t]*$")),
+}
 #: A text without any of these signs has no candidate node; for the JVM, before Python.
 SIGNS = r"[<`~\\{$*]|&[#A-Za-z0-9]+;|__|\]\(|\[\[|''|\[http|(?m)^[ \t]*[#>=|+!_-]|[ (]_\S"
 #: Code, in which nothing is markup, and parts that need a parent of a kind.
@@ -95,10 +101,30 @@ class Node:
         self.until = end
 
 
+def paired(name: str, text: str) -> list[tuple[int, int, int, int]]:
+    """(begin, end, inner, close) of each opening with the first closing after it; openings within one are none."""
+    opening, closing = PAIRED[name]
+    closings = [m.span() for m in closing.finditer(text)]
+    out, last, k = [], 0, 0
+    for m in opening.finditer(text) if closings else ():
+        if m.start() < last:
+            continue
+        while k < len(closings) and closings[k][0] < m.end():
+            k += 1
+        if k == len(closings):
+            break
+        begin, last = closings[k]
+        out.append((m.start(), last, last, last) if name == "comment" else (m.start(), last, m.end(), begin))
+    return out
+
+
 def nodes_of(text: str) -> list[Node]:
     """Candidate nodes in order of place, nested: each with its parent and depth."""
     out = []
-    for kind, (_, _, pattern) in enumerate(KINDS):
+    for kind, (name, _, pattern) in enumerate(KINDS):
+        if name in PAIRED:
+            out += [Node(kind, *span) for span in paired(name, text)]
+            continue
         for m in pattern.finditer(text):
             has_close = "c" in pattern.groupindex
             out.append(Node(kind, m.start(), m.end(), m.end("o"), m.start("c") if has_close else m.end()))

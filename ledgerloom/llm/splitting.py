@@ -70,13 +70,13 @@ def _finer(text: str, begin: int, end: int, room: int) -> list[tuple[int, int]]:
 def _hard(text: str, last: int, room: int) -> int:
     """A place at most `room` after `last`, not before a combining mark if that can be had."""
     at = last + room
-    while at > last + room // 2 and unicodedata.combining(text[at]):
+    while at > last + max(1, room // 2) and unicodedata.combining(text[at]):
         at -= 1
     return at if not unicodedata.combining(text[at]) else last + room
 
 
 def cuts(text: str, limit: int, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(begin, end) of the pieces of a text, overlaps included."""
+    """(begin, end) of the pieces of a text, overlaps included. The first piece is at least as long as the overlap, so all overlaps are whole, also those over half the limit."""
     if len(text) <= limit:
         return [(0, len(text))]
     if not 0 <= overlap < limit:
@@ -89,7 +89,7 @@ def cuts(text: str, limit: int, overlap: int = OVERLAP) -> list[tuple[int, int]]
         if at < overlap and at < n:
             continue  # a first piece shorter than the overlap would not hold it
         if at - last > room:
-            places += [p for p in _finer(text, last, at, room) if p[0] >= min(overlap, room)]
+            places += [p for p in _finer(text, last, at, room) if p[0] >= overlap]
         places.append((at, strength))
         last = at
     places = [p for p in places if 0 < p[0] < n]

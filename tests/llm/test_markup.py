@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from ledgerloom.llm import boosting, markup as m
@@ -39,8 +42,7 @@ def test_cases(reader, text, want, clean):
 
 
 def test_held_out_accuracy(reader):
-    import random
-
+    
     rng = random.Random(99)
     right = total = 0
     for _ in range(300):
@@ -75,3 +77,19 @@ def test_features_cover_the_whole_subtree():
     letters, digits, size = 401, 601, len(inner)
     assert x[4] == size and x[5] == letters / (size + 1) and x[6] == digits / (size + 1)
     assert x[14] == letters / nodes[0].inner and (x[15], x[19], x[21]) == (2, 1, nodes[0].inner) and x[17] == 1
+
+
+def test_pairs_are_those_of_the_patterns_and_take_no_time():
+    rng = random.Random(3)
+    parts = ["<!--", "-->", "```\n", "```", "~~~ x\n", "\n", "{| a\n", "{|", "|}", "\n|}\n", "text ", "  ", "`"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        for name, _, pattern in m.KINDS:
+            if name in m.PAIRED:
+                want = [(x.start(), x.end(), x.end("o"), x.start("c") if "c" in pattern.groupindex else x.end()) for x in pattern.finditer(text)]
+                assert m.paired(name, text) == want, (name, text)
+    began = time.time()
+    for text in ("<!-- a " * 40_000, "```x\nb\n" * 40_000, "{| a\nb\n" * 40_000, "-->" * 40_000):
+        for name in m.PAIRED:
+            m.paired(name, text)
+    assert time.time() - began < 5

@@ -17,6 +17,14 @@ def test_pieces_cover_the_text(text, limit, overlap):
     assert joined == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.! \n#|,ế́", min_size=30, max_size=400), st.integers(20, 30), st.integers(10, 19))
+def test_overlaps_over_half_the_limit_are_whole(text, limit, overlap):
+    cuts = s.cuts(text, limit, overlap)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(b - a <= limit for a, b in cuts)
+    assert all(end - begin == overlap for (_, end), (begin, _) in zip(cuts, cuts[1:], strict=False))
+
+
 def test_natural_boundaries_win():
     text = "\n\n".join(f"# Part {k}\n" + "One sentence here. " * 20 for k in range(10))
     for begin, end in s.cuts(text, 2000, 200)[:-1]:
