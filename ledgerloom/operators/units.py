@@ -61,6 +61,10 @@ def spellings(units: DataFrame) -> DataFrame:
     return made.join(units.select("unit_code"), "unit_code", "left_semi").unionByName(own).groupBy("spelling").agg(F.min("unit_code").alias("unit_code"))
 
 
+#: Rows of a unit table that are broadcast, at most.
+BROADCAST_UNITS = 10_000
+
+
 def label_candidates(label: Column) -> Column:
     """Texts of a label in the places where a unit is named: after a unit word, in the last bracket, after the last comma."""
     f = folded(label)
@@ -109,9 +113,11 @@ def converted(facts: DataFrame, blocks: DataFrame, units: DataFrame, default: st
     else `default`. A null value gives a null base_value; a unit field that no spelling matches
     counts as naming none; a fact without table_id has no block. Other columns are kept, but for
     clashing names, which are replaced. The base value is value x factor + offset; a unit table without
-    offsets has none. The unit tables are joined as Catalyst sees fit for their size.
+    offsets has none. A unit table of up to BROADCAST_UNITS rows, counted first, is broadcast with its spellings; a
+    longer one is joined as Catalyst sees fit.
     """
-    names = spellings(units).select(F.col("spelling").alias("_spelling"), F.col("unit_code").alias("_code"))
+    hint = F.broadcast if units.count() <= BROADCAST_UNITS else lambda df: df
+    names = hint(spellings(units)).select(F.col("spelling").alias("_spelling"), F.col("unit_code").alias("_code"))
     facts = facts.drop("unit_code", "quantity", "base_unit", "factor", "base_value")
     own = facts.withColumn("_field", folded(F.col("unit")))
     own = own.join(names.select(F.col("_spelling").alias("_field"), F.col("_code").alias("_of_field")), "_field", "left")
@@ -122,7 +128,7 @@ def converted(facts: DataFrame, blocks: DataFrame, units: DataFrame, default: st
     of_block = block_units(blocks, names.select(F.col("_spelling").alias("spelling"), F.col("_code").alias("unit_code")))
     joined = own.join(of_block, ["doc_id", "table_id"], "left").withColumn("unit_code", F.coalesce("_of_row", "block_unit", F.lit(default))).drop("_of_row", "block_unit")
     offset = F.coalesce("offset", F.lit(0.0)) if "offset" in units.columns else F.lit(0.0)
-    known = units.select("unit_code", "quantity", "base_unit", "factor", offset.alias("_offset"))
+    known = hint(units.select("unit_code", "quantity", "base_unit", "factor", offset.alias("_offset")))
     return joined.join(known, "unit_code", "left").withColumn("base_value", F.col("value") * F.col("factor") + F.col("_offset")).drop("factor", "_offset")
 
 
